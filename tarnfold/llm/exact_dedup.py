@@ -184,3 +184,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     w = Window.partitionBy(fp, text_col).orderBy(F.col(id_col).asc_nulls_last())
     judged = tagged.where(F.col(fp).isNotNull()).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
     return tagged.where(F.col(fp).isNull()).select(*docs.columns).unionByName(judged.select(*docs.columns))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """All byte-for-byte copies in the documents table."""
+    return find_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = """
+SELECT doc_id, duplicate_of FROM (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rank
+  FROM documents WHERE text IS NOT NULL
+) WHERE rank > 1
+"""

@@ -218,3 +218,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             yield piece.filter(judge(held.value, piece.column(at), min_posterior, min_coverage)["accepted"])
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model fitted on the table's own labels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return identify(docs, fit(docs))
