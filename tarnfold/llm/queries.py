@@ -9,11 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid
+from . import decontaminate, exact_dedup, langid
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
         "op8_exact_dedup": exact_dedup.query,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_decontamination": decontaminate.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     }
