@@ -9,19 +9,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid
+from . import decontaminate, exact_dedup, html_blocks, langid, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_html_extraction": html_blocks.query,
         "op5_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
         "op8_exact_dedup": exact_dedup.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_html_extraction": html_blocks.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
     }
