@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_blocks, langid, warc
+from . import decontaminate, exact_dedup, html_blocks, jaccard_join, langid, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_html_extraction": html_blocks.query,
+        "op4_ngram_jaccard_join": jaccard_join.query,
         "op5_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
         "op8_exact_dedup": exact_dedup.query,

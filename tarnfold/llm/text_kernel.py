@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
@@ -94,7 +95,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64)).astype(np.int64)
+        lengths = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64)).astype(np.int64)
         ends = np.cumsum(lengths)
         at, base = 0, 0
         while at < batch.num_rows:
