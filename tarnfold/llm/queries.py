@@ -9,11 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_blocks, jaccard_join, langid, related_packing, token_packing, warc
+from . import decontaminate, exact_dedup, html_blocks, jaccard_join, langid, related_packing, site_quality, token_packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_site_quality": site_quality.query,
         "op2_related_packing": related_packing.query,
         "op3_html_extraction": html_blocks.query,
         "op4_ngram_jaccard_join": jaccard_join.query,
