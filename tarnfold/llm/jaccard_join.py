@@ -258,8 +258,8 @@ def _compare(threshold: float, least: int):
             node, run_, cid = node[shared], run_[shared], cid[shared]
             i, j = compare_nodes(node.view(_U), sig, least, threshold)
             a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-            pairs = np.unique(np.column_stack([a, b, run_[i]])[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "run"])
+            pairs = np.unique(np.column_stack([a, b, run_[i], _agree(sig, i, j)])[a != b], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3].astype(np.int32))], names=["a", "b", "run", "agree"])
 
         for b in batches:
             if not b.num_rows:
@@ -289,13 +289,14 @@ def _candidates(classes: DataFrame, threshold: float, target_recall: float, runs
     for k in range(MAX_BATCHES):
         nodes = _nodes(classes, range(k * runs, (k + 1) * runs), node_limit)
         sorted_ = nodes.repartition(max(1, common.shuffle_width(spark)), "node").sortWithinPartitions("node")
-        pairs = sorted_.mapInArrow(_compare(threshold, max(1, least)), "a bigint, b bigint, run int")
+        pairs = sorted_.mapInArrow(_compare(threshold, max(1, least)), "a bigint, b bigint, run int, agree int")
         batches.append(common.written(pairs, "jaccard-pairs"))
         union = batches[0]
         for x in batches[1:]:
             union = union.unionByName(x)
-        found = common.written(union.groupBy("a", "b").agg(F.count_distinct("run").alias("n")), "jaccard-candidates")
-        seen = found.agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+        found = common.written(union.groupBy("a", "b").agg(F.count_distinct("run").alias("n"), F.max("agree").alias("agree")), "jaccard-candidates")
+        # recall is promised for pairs over the threshold; those below, which are found less often, don't count
+        seen = found.where(F.col("agree") >= POSITIONS * threshold).agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
         total = runs * (k + 1)
         missed = (total - 1) / total * seen["once"] * (seen["once"] - 1) / (2 * (seen["twice"] + 1))
         if seen["all"] >= target_recall * (seen["all"] + missed):
