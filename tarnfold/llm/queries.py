@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_blocks, jaccard_join, langid, related_packing, site_quality, token_packing, warc
+from . import decontaminate, exact_dedup, html_blocks, jaccard_join, langid, related_packing, secret_forest, site_quality, token_packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": jaccard_join.query,
         "op5_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
+        "op7_secret_scan": secret_forest.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_token_packing": token_packing.query,
         "op10_warc": warc.query,
