@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import common, exact_dedup, langid
+from tarnfold.llm import common, decontaminate, exact_dedup, jaccard_join, langid, related_packing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,27 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each connected group whose word n-grams overlap by the join's threshold, that with the smallest id."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of the texts; a document that was nothing else goes, all others stay."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def related_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of related documents: every word of every document that is left, in one window each."""
+    return related_packing.pack(docs)
+
+
 STAGES = [
     ("language ID", language_id),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", related_windows),
 ]
 
 #: Neither the language model nor the packing walk can be written in SQL; tests hold the stages against brute force.
