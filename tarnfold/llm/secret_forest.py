@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -272,7 +272,7 @@ def labelled_findings(words: list[str], n: int = LABELLED, seed: int = SEED) ->
 
 def dictionary(docs: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> dict[str, int]:
     """The words of 4 to 14 letters that occur in most documents, and in how many; ties by the word."""
-    common.need(docs, text_col)
+    docs, text_col = common.numbered(docs, text_col)
 
     def run(batches):
         keys, counts, text = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
@@ -295,19 +295,24 @@ def dictionary(docs: DataFrame, text_col: str = "text", max_words: int = MAX_WOR
             counts = np.bincount(inv, np.concatenate([counts, n]), len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([text[k] for k in keys.tolist()], pa.string()), pa.array(counts)], names=["word", "n"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in found.orderBy(F.desc("n"), "word").limit(max_words).collect()}
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = common.written(counted, "dictionary")
+    # the least count among the first max_words, from a table of counts, so that no task sends its own first max_words on
+    of_count = found.groupBy("n").agg(F.count("*").alias("words"))
+    reached = of_count.withColumn("reached", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = reached.where(F.col("reached") >= max_words).agg(F.max("n").alias("n")).first()["n"] or 0
+    return {r["word"]: r["n"] for r in found.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(max_words).collect()}
 
 
 def fit(findings, lex: Lexicon, trees: int = TREES) -> Forest:
     """A forest from rows (value, before, after, path, label)."""
     rows = [(features(v, b or "", a or "", p or "", lex), y) for v, b, a, p, y in findings if v and y is not None]
-    return grow(np.array([x for x, _ in rows]).reshape(len(rows), -1), np.array([float(y) for _, y in rows]), trees)
+    return grow(np.array([x for x, _ in rows] or np.zeros((0, 1))), np.array([float(y) for _, y in rows]), trees)
 
 
 def scan(docs: DataFrame, lex: Lexicon, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", secret_from: float = SECRET_FROM) -> DataFrame:
     """(doc_id, first_byte, n_bytes, value_sha256, vote, is_secret) of every candidate; bytes count from the text's start in UTF-8."""
-    common.need(docs, id_col, text_col, path_col)
+    docs, id_col, text_col, path_col = common.numbered(docs, id_col, text_col, path_col)
     held = docs.sparkSession.sparkContext.broadcast((lex, forest))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"))
 
