@@ -67,12 +67,13 @@ def _sketch(ngram: int):
             ids = piece.column("doc_id")
             w = Words(piece.column("text"))
             grams, first = w.grams(ngram)
-            have = np.flatnonzero((np.diff(first) > 0) & ids.is_valid().to_numpy(zero_copy_only=False))
+            some = np.flatnonzero(np.diff(first) > 0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)[some]
+            have = some[named]
             if not len(have):
                 continue
             distinct, at = _sets(grams, first)
-            with np.errstate(over="ignore"):
-                prints = [np.add.reduceat(mix64(distinct ^ _U(s)), at[have]) for s in (0x51ED270B, 0xA0761D64)]
+            prints = [_prints(distinct, at[some], s)[named] for s in (0x51ED270B, 0xA0761D64)]
             sig = signatures(grams, first, POSITIONS, SEED)[have]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -88,6 +89,12 @@ def _sketch(ngram: int):
     return run
 
 
+def _prints(distinct: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+    """Order-free hash of each set; starts are those of all sets that aren't empty."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix64(distinct ^ _U(salt)), starts) if len(starts) else np.zeros(0, _U)
+
+
 def _sets(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct grams, ascending, and where its own begin."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -357,13 +364,13 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram:
                 continue
             grams, first = Words(piece.column("text").take(pa.array(mine))).grams(ngram)
             distinct, at = _sets(grams, first)
-            with np.errstate(over="ignore"):
-                prints = np.add.reduceat(mix64(distinct ^ _U(0x51ED270B)), at[:-1]).view(np.int64) if len(distinct) else None
+            some = np.flatnonzero(np.diff(at) > 0)
+            prints = dict(zip(some.tolist(), _prints(distinct, at[some], 0x51ED270B).view(np.int64).tolist()))
             rows = []
             for k, i in enumerate(mine):
                 for c, keys in known[ids[i]]:
                     # rows that share an id may differ in text
-                    if at[k + 1] > at[k] and prints[k] == c:
+                    if prints.get(k) == c:
                         rows += [(key, c, distinct[at[k] : at[k + 1]].tobytes()) for key in keys]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "cid", "grams"])
@@ -398,7 +405,7 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit):
-    common.need(docs, id_col, text_col)
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if not common.is_plain_scan(narrow):
         narrow = common.written(narrow, "jaccard-input")
@@ -443,7 +450,8 @@ def keep_one(
     node_limit: int = NODE_LIMIT,
 ) -> DataFrame:
     """docs with one document of each connected group of similar ones: that with the smallest id."""
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     if not common.is_plain_scan(docs):
         docs = common.written(docs, "jaccard-input")
     _, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
@@ -463,7 +471,7 @@ def keep_one(
                 gone = ds.dataset(path, format="parquet").to_table(columns=["doc_id"], filter=ds.field("part") == TaskContext.get().partitionId()).column(0).combine_chunks()
             yield b.filter(pc.invert(pc.is_in(b.column(at), value_set=gone.cast(b.column(at).type), skip_nulls=True)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
