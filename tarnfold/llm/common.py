@@ -85,5 +85,14 @@ def need(df: DataFrame, *columns: str) -> None:
             raise ValueError(f"column {c} is missing; there are {', '.join(df.columns)}")
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple:
+    """df with its columns called c0, c1 and so on, and what the given ones are called now.
+
+    Names that hold dots, or differ by case alone, can then do no harm; toDF(*df.columns) gives them back.
+    """
+    need(df, *columns)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), *(f"c{df.columns.index(c)}" for c in columns)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

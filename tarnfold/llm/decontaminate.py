@@ -269,7 +269,7 @@ def find_leaks(
 
     items: ids of the items found, ascending. Spans are word numbers from 0, the end excluded.
     """
-    common.need(docs, id_col, text_col)
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(_phrases(benchmark, phrase_words, min_item_words))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = dict(narrow.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -321,10 +321,11 @@ def drop_leaks(
 
     A document of which nothing but spans was left goes. All other documents stay as they are.
     """
-    common.need(docs, text_col)
+    names = docs.columns
+    length_at = names.index(length_col) if dict(docs.dtypes).get(length_col) in ("int", "bigint") else None
+    docs, text_col = common.numbered(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(_phrases(benchmark, phrase_words, min_item_words))
     at = docs.columns.index(text_col)
-    length_at = docs.columns.index(length_col) if dict(docs.dtypes).get(length_col) in ("int", "bigint") else None
 
     def run(batches):
         p = held.value
@@ -350,7 +351,7 @@ def drop_leaks(
                         piece = piece.set_column(column, field, pc.replace_with_mask(piece.column(column), changed, pa.array([values[k] for k in sorted(values)], field.type)))
                 yield piece.filter(pa.array(whole))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

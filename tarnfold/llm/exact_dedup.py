@@ -167,7 +167,7 @@ def _stable(docs: DataFrame) -> DataFrame:
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
     """(doc_id, duplicate_of): every row that is a byte-for-byte copy, and the kept row's id. See the module for edge cases."""
-    common.need(docs, id_col, text_col)
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     narrow = _stable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = _suspect_rows(narrow, "text", "fp", owners).where(F.col("fp").isNotNull())
     w = Window.partitionBy("fp", "text").orderBy(F.col("doc_id").asc_nulls_last())
@@ -177,13 +177,14 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
     """docs without the rows that find_copies names; its columns, and those of no other name."""
-    common.need(docs, id_col, text_col)
+    names = docs.columns
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     docs = _stable(docs)
     fp, rank = common.free_name(docs, "fingerprint_48"), common.free_name(docs, "rank_of_copy")
     tagged = _suspect_rows(docs, text_col, fp, owners)
     w = Window.partitionBy(fp, text_col).orderBy(F.col(id_col).asc_nulls_last())
     judged = tagged.where(F.col(fp).isNotNull()).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1)
-    return tagged.where(F.col(fp).isNull()).select(*docs.columns).unionByName(judged.select(*docs.columns))
+    return tagged.where(F.col(fp).isNull()).select(*docs.columns).unionByName(judged.select(*docs.columns)).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

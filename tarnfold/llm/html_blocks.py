@@ -81,14 +81,16 @@ def _let(value: Column, body) -> Column:
 def add_main_text(pages: DataFrame, html_col: str = "html", to: str = "main_text", window: int = WINDOW, surge_chars: int = SURGE_CHARS, lone_chars: int = LONE_CHARS) -> DataFrame:
     """pages with column `to`."""
     common.need(pages, html_col)
+    names = pages.columns
     if to.lower() in (c.lower() for c in pages.columns):
         raise ValueError(f"column {to} is there already")
-    return pages.withColumn(to, main_text(F.col(html_col), window, surge_chars, lone_chars)[0])
+    pages, html_col = common.numbered(pages, html_col)
+    return pages.withColumn(to, main_text(F.col(html_col), window, surge_chars, lone_chars)[0]).toDF(*names, to)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", window: int = WINDOW, surge_chars: int = SURGE_CHARS, lone_chars: int = LONE_CHARS) -> DataFrame:
     """(page_id, main_text, n_lines) of every page; n_lines counts the lines with text, kept or not."""
-    common.need(pages, id_col, html_col)
+    pages, id_col, html_col = common.numbered(pages, id_col, html_col)
     text, lines = main_text(F.col("html"), window, surge_chars, lone_chars)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     return narrow.select("page_id", text.alias("main_text"), F.when(F.col("html").isNotNull(), lines).otherwise(0).cast("bigint").alias("n_lines"))

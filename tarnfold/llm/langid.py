@@ -107,7 +107,7 @@ def fit(
     max_grams: int = MAX_GRAMS,
     min_label: int = MIN_LABEL,
 ) -> Model | None:
-    common.need(docs, text_col, lang_col)
+    docs, text_col, lang_col = common.numbered(docs, text_col, lang_col)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= min_label).orderBy(F.desc("n"), "lang").limit(500).collect()}
     languages = sorted(sizes)
@@ -195,7 +195,7 @@ def judge(model: Model | None, column: pa.Array, min_posterior: float, min_cover
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", min_posterior: float = MIN_POSTERIOR, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, predicted_lang, posterior, coverage, n_words, accepted) of every row of docs."""
-    common.need(docs, id_col, text_col)
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -209,7 +209,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_posterior: float = MIN_POSTERIOR, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The rows of docs whose language is accepted, with all their columns as they are."""
-    common.need(docs, text_col)
+    names = docs.columns
+    docs, text_col = common.numbered(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -217,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         for piece in slices(batches, text_col):
             yield piece.filter(judge(held.value, piece.column(at), min_posterior, min_coverage)["accepted"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """The document classifier, from at most about max_train labelled documents, drawn by a hash of the id."""
-    common.need(docs, id_col, text_col)
+    docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     common.need(labels, "doc_id", label_col)
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     share = min(1.0, max_train / max(1, known.count()))
@@ -140,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the drawn ids are few at any size, as max_train says
     found = rows.join(F.broadcast(drawn), "id").select("y", "text").mapInArrow(run, "y double, x binary").toArrow()
     y = found.column("y").to_numpy()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), -1)
-    o = np.lexsort((x[:, 0], y)) if len(y) else np.zeros(0, np.int64)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), len(_KINDS) + 8 + BUCKETS)
+    o = np.lexsort((x[:, 0], y))
     return train(x[o], (y[o] > 0.5).astype(np.float64))
 
 
@@ -159,7 +159,7 @@ def strengths(n: float, groups: float, above: float, sum_n2: float, within: floa
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, evidence, host_posterior, path_posterior, quality, keep) of every row of docs."""
-    common.need(docs, id_col, text_col, host_col, path_col)
+    docs, id_col, text_col, host_col, path_col = common.numbered(docs, id_col, text_col, host_col, path_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
 

@@ -172,7 +172,7 @@ def write_files(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     A file appears under its final name when it is complete; an attempt that is repeated writes another file, and only those that
     their task reported are kept.
     """
-    common.need(pages, id_col, url_col, body_col)
+    pages, id_col, url_col, body_col = common.numbered(pages, id_col, url_col, body_col)
     spark = pages.sparkSession
     folder = folder.rstrip("/")
 
