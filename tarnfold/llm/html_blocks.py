@@ -1,6 +1,6 @@
 """Main text of HTML pages by the distribution of line blocks.
 
-1. Markup goes: comments, scripts, styles and other unseen elements with their content; tags of block elements
+1. Markup goes: comments, scripts, styles and other unseen elements with their content, whichever opens first; tags of block elements
    become line ends, those of sections several, all other tags nothing; the commonest character references are resolved and
    white space is collapsed. Line ends of the source are white space.
 2. The block at line i is the length of lines i to i + window - 1 together.
@@ -33,16 +33,15 @@ _SPACE = r"[ \t\r\f\x{a0}]+"
 
 def _steps() -> list[tuple[str, str]]:
     """Patterns, in RE2's and Java's common language, and what replaces their matches."""
-    steps = [("(?s)<!--.*?-->", " ")]
-    steps += [(f"(?is)<{tag}(?:[ \\t\\r\\n/][^>]*)?>.*?</{tag}[ \\t\\r\\n]*>", " ") for tag in UNSEEN]
-    steps += [("[\\r\\n]", " "), (f"(?i)</?(?:{SECTIONS})(?:[ \\t/][^>]*)?>", "\n" * WINDOW), (f"(?i)</?(?:{BLOCKS})(?:[ \\t/][^>]*)?>", "\n"), ("<[A-Za-z/!?][^>]*>", "")]
-    return steps
+    unseen = "|".join(["<!--.*?-->", *(f"<{tag}(?:[ \\t\\r\\n/][^>]*)?>.*?</{tag}[ \\t\\r\\n]*>" for tag in UNSEEN)])
+    tag = lambda names: f"(?i)</?(?:{names})(?:[ \\t/][^>]*)?>"
+    return [(f"(?is){unseen}", " "), ("[\\r\\n]", " "), (tag(SECTIONS), "\n" * WINDOW), (tag(BLOCKS), "\n"), ("<[A-Za-z/!?][^>]*>", "")]
 
 
 def lines_of(html: Column) -> Column:
     """The visible lines, blank ones included."""
     for pattern, to in _steps():
-        html = F.regexp_replace(html, pattern, to)
+        html = F.translate(html, "\r\n", "  ") if pattern == "[\\r\\n]" else F.regexp_replace(html, pattern, to)
     for name, to in REFERENCES:
         html = F.replace(html, F.lit(name), F.lit(to))
     return F.transform(F.split(F.regexp_replace(html, _SPACE, " "), "\n", -1), lambda x: F.trim(x))
