@@ -19,6 +19,11 @@ ANCHORS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: a lambda's variable instead of copies of the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     """NULL for NULL and ''."""
     return F.nullif(c, F.lit(""))

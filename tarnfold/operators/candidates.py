@@ -29,27 +29,29 @@ def baseline(packets: DataFrame, text: Column, ids: Column, label: Column | None
 
 def message_content(response: Column) -> Column:
     """The first choice's message: a string, or the texts of its parts on lines; '' if there is none."""
+    first_text = F.get_json_object(response, "$.choices[0].message.content[0].text")
+
+    def joined(content: Column) -> Column:
+        texts, parts = F.from_json(content, "array<struct<text:string>>"), F.from_json(content, "array<string>")
+        return F.array_join(F.zip_with(texts, parts, lambda t, p: F.coalesce(t["text"], p)), "\n")
+
     content = F.get_json_object(response, "$.choices[0].message.content")
-    texts = F.from_json(content, "array<struct<text:string>>")
-    parts = F.from_json(content, "array<string>")
-    joined = F.array_join(F.zip_with(texts, parts, lambda t, p: F.coalesce(t["text"], p)), "\n")
-    is_list = content.startswith("[") & F.try_parse_json(content).isNotNull() & F.get_json_object(response, "$.choices[0].message.content[0].text").isNotNull()
-    return F.coalesce(F.when(is_list, joined).otherwise(content), F.lit(""))
+    return F.coalesce(expr.let(content, lambda c: F.when(c.startswith("[") & first_text.isNotNull(), joined(c)).otherwise(c)), F.lit(""))
 
 
 def json_text(content: Column) -> Column:
     """The JSON in an answer: what is in a fence, else all of it; if that is no JSON, from the first bracket to the last; else NULL."""
-    text = expr.stripped(content)
     fence = r"(?is)```(?:json)?\s*(.*?)```"
-    body = F.when(text.rlike(fence), expr.stripped(F.regexp_extract(text, fence, 1))).otherwise(text)
-    cut = expr.part_of(body, r"(?s)([{\[].*[}\]])")
-    return F.coalesce(F.when(F.try_parse_json(body).isNotNull(), body), F.when(F.try_parse_json(cut).isNotNull(), cut))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    body = lambda text: F.when(F.contains(text, F.lit("```")) & text.rlike(fence), expr.stripped(F.regexp_extract(text, fence, 1))).otherwise(text)
+    whole_or_cut = lambda b: F.coalesce(valid(b), expr.let(expr.part_of(b, r"(?s)([{\[].*[}\]])"), valid))
+    return expr.let(expr.stripped(content), lambda text: expr.let(body(text), whole_or_cut))
 
 
 def items(parsed: Column) -> Column:
     """The disclosures of an object, or a list at the top."""
     inner = F.when(parsed.startswith("["), parsed).otherwise(F.get_json_object(parsed, "$.disclosures"))
-    return F.when(inner.startswith("["), F.from_json(inner, ITEM))
+    return expr.let(inner, lambda x: F.when(x.startswith("["), F.from_json(x, ITEM)))
 
 
 def parse(results: DataFrame, response: Column, allowed: Column, keys: list[str]) -> DataFrame:
@@ -57,7 +59,8 @@ def parse(results: DataFrame, response: Column, allowed: Column, keys: list[str]
 
     Aliases fill empty fields in turn, unknown types become qualitative with a flag, ids outside `allowed` go; garbage gives no rows.
     """
-    rows = results.select(*keys, F.posexplode(items(json_text(message_content(response)))).alias("item_index", "i"), allowed.alias("_allowed"))
+    found = expr.let(message_content(response), lambda c: expr.let(json_text(c), items))
+    rows = results.select(*keys, F.posexplode(found).alias("item_index", "i"), allowed.alias("_allowed"))
     rows = rows.where("i IS NOT NULL")
     i = F.col("i")
     kind = F.lower(expr.stripped(F.coalesce(expr.blank_to_null(i["disclosure_type"]), F.lit("qualitative"))))

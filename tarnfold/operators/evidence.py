@@ -63,16 +63,13 @@ def slice_packets(packets_: DataFrame, start: int = 0, most: int = 10, report: s
 def recall(packets_: DataFrame, keywords: list[str], text: Column | None = None) -> DataFrame:
     """Packets whose text holds any of the keywords, without regard to case."""
     low = F.lower(packet_text(F.col("primary")) if text is None else text)
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | low.contains(k.lower())
-    return packets_.where(hit)
+    return packets_.where(expr.let(low, lambda t: F.exists(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(t, k))) if keywords else F.lit(False))
 
 
 def recall_by_table(rows: DataFrame, keywords: DataFrame, text: str = "text", keyword: str = "keyword") -> DataFrame:
     """The same for keywords in a table: they are gathered into one small row first, so that texts never move."""
     held = keywords.agg(F.collect_set(F.lower(keyword)).alias("_keywords"))
-    hit = F.exists("_keywords", lambda k: F.contains(F.lower(F.col(text)), k))
+    hit = expr.let(F.lower(text), lambda t: F.exists("_keywords", lambda k: F.contains(t, k)))
     return rows.crossJoin(F.broadcast(held)).where(hit).drop("_keywords")
 
 

@@ -152,3 +152,15 @@ def route(models: DataFrame, tasks: DataFrame, preferences: DataFrame) -> DataFr
     model = F.coalesce("pin", "preferred", "able")
     there = F.when(F.col("pin").isNotNull(), F.coalesce("_known", F.lit(False))).otherwise(model.isNotNull())
     return all_.select("task", model.alias("model_id"), there.alias("in_registry"), reason.alias("reason"))
+
+
+def assessment(spark: SparkSession, preferences: dict[str, dict[str, int]] = PREFERENCES) -> DataFrame:
+    """What each task asks for, its default model and alternatives, and how it is called and reviewed."""
+    calls = {True: "one page image a call, only where the local text is missing or doubtful", False: "packets in batches, low temperature, ids of the evidence in every answer"}
+    review = {"mapping_review": "every mapping waits for a person", "verification": "disagreements wait for a person", "visual_verification": "disagreements wait for a person"}
+    rows = []
+    for task, (image, schema, reasoning, context, _) in NEEDS.items():
+        order = [m for _, m in sorted((x[task], m) for m, x in preferences.items() if task in x)]
+        needs = [n for n, on in (("image input", image), ("schema output", schema), ("reasoning", reasoning)) if on] + [f"context of {context} or more"]
+        rows.append((task, needs, order[0] if order else None, order[1:], calls[image], review.get(task, "spot checks")))
+    return spark.createDataFrame(rows, "task string, needs array<string>, default_model string, alternatives array<string>, call_policy string, review_policy string")

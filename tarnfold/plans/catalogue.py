@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import expr
 from ..operators import candidates, coverage, evidence, index, ledger, quality, routing, store
+from ..streaming import ledger as stream_ledger
 from . import tables as t
 from .tables import CONTENT, CUSTOMERS, FILINGS, FRAGMENTS, LEDGER, MODELS, PRIMARY, table
 
@@ -591,3 +594,33 @@ def replace_reports(spark, d):
 def entity_dimension(spark, d):
     named = index.primary_index(t.filings(spark, d)).join(t.customers(spark, d), "lei", "left")
     return index.entities_of(named)
+
+
+# --- streaming: the stream is run to its end, and what it leaves must be what a batch over the same entries gives
+
+
+def _drained(frame, mode: str) -> DataFrame:
+    spark = frame.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/drained_{uuid.uuid4().hex}"
+    spark.createDataFrame([], frame.schema).write.parquet(f"{folder}/out")
+    writer = frame.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    writer.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _events_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    status = F.when(F.col("event_type").isin("purchase", "click"), "ok").when(F.col("event_type") == "view", "skip").otherwise("fail")
+    return stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("report_id"), status.alias("status"), (F.col("value") > 50).cast("int").alias("esg_flag"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"WITH {_LATEST} SELECT report_id, seq, status, esg_flag FROM latest")
+def stream_ledger_latest(spark, d):
+    out = _drained(stream_ledger.latest(_events_stream(spark, d).drop("ts")), "complete")
+    return out.select("report_id", "entry.seq", "entry.status", "entry.esg_flag")
+
+
+@query(f"WITH {LEDGER} SELECT status, count(*) AS n FROM ledger GROUP BY status")
+def stream_ledger_rollup(spark, d):
+    return _drained(stream_ledger.counters(_events_stream(spark, d)), "complete")
