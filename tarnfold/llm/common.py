@@ -7,7 +7,11 @@ import itertools
 import shutil
 import tempfile
 
+import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _number = itertools.count()
 _SCAN_NODES = ("Relation", "Project", "Filter", "LogicalRelation", "SubqueryAlias", "View")
@@ -50,6 +54,26 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_by_part(df: DataFrame, name: str) -> tuple[str, int]:
+    """df, which has a column part, written such that read_part opens one small folder for each part: (path, number of folders)."""
+    spark = df.sparkSession
+    path, slots = scratch_path(spark, name), max(1, shuffle_width(spark))
+    slotted = df.withColumn("slot", F.pmod("part", F.lit(slots)))
+    slotted.repartition(slots, "slot").sortWithinPartitions("slot", "part").write.partitionBy("slot").parquet(path)
+    return path, slots
+
+
+def read_part(where: tuple[str, int], part: int, schema: pa.Schema) -> pa.Table:
+    """The rows of one part, in a task."""
+    path, slots = where
+    system, inner = pafs.FileSystem.from_uri(path)
+    folder = f"{inner}/slot={part % slots}"
+    if system.get_file_info(folder).type == pafs.FileType.NotFound:
+        return schema.empty_table()
+    table = ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=schema.names, filter=ds.field("part") == part)
+    return table.cast(schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no DataFrame reads any more."""
     if not path.startswith(scratch_root(spark)):

@@ -126,12 +126,9 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([f.view(np.int64).tolist() for f in found], pa.list_(pa.int64()))], names=["part", "suspects"])
 
 
-def suspects_of(path: str, part: int) -> np.ndarray:
-    """The suspect hashes of one partition, from the written answers; only row groups that may hold it are read."""
-    import pyarrow.dataset as ds
-
-    files = ds.dataset(path, format="parquet", exclude_invalid_files=False)
-    lists = files.to_table(columns=["suspects"], filter=ds.field("part") == part).column(0)
+def suspects_of(where: tuple[str, int], part: int) -> np.ndarray:
+    """The suspect hashes of one partition, from the written answers."""
+    lists = common.read_part(where, part, pa.schema([("suspects", pa.list_(pa.int64()))])).column(0)
     flat = [x.values.to_numpy(zero_copy_only=False) for x in lists if x.is_valid and len(x.values)]
     return np.unique(np.concatenate(flat)) if flat else np.zeros(0, np.int64)
 
@@ -144,13 +141,13 @@ def _suspect_rows(docs: DataFrame, text_col: str, fp: str, owners: int | None) -
     sent = docs.select(print_of.alias("fp")).mapInArrow(_send(owners), "owner int, part int, code binary")
     answered = sent.groupBy("owner").applyInArrow(_answer, "owner int, part int, code binary, bitmap binary")
     lists = answered.where(F.length("bitmap") > 0).mapInArrow(_apply, "part int, suspects array<bigint>")
-    _, path = common.written_at(lists.repartition("part").sortWithinPartitions("part"), "suspects")
+    where = common.written_by_part(lists, "suspects")
 
     def keep(batches):
         known = None
         for b in batches:
             if known is None:
-                known = suspects_of(path, TaskContext.get().partitionId())
+                known = suspects_of(where, TaskContext.get().partitionId())
             at = b.schema.get_field_index(fp)
             col = b.column(at)
             values = col.fill_null(-1).to_numpy(zero_copy_only=False)

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .text_kernel import Words, mix64, signatures, slices
@@ -344,15 +345,14 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram:
     wanted = keyed.select("key", F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.collect_set("key").alias("keys"))
     first = F.element_at("members", 1)
     lists = wanted.join(classes.select("cid", first["part"].alias("part"), first["doc_id"].alias("doc_id")), "cid")
-    _, path = common.written_at(lists.repartition(width, "part").sortWithinPartitions("part"), "jaccard-wanted")
+    where = common.written_by_part(lists, "jaccard-wanted")
+    listed = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def read(batches):
-        import pyarrow.dataset as ds
-
         known = None
         for piece in slices(batches, "text"):
             if known is None:
-                table = ds.dataset(path, format="parquet").to_table(columns=["doc_id", "cid", "keys"], filter=ds.field("part") == TaskContext.get().partitionId())
+                table = common.read_part(where, TaskContext.get().partitionId(), listed)
                 known = {}
                 for d, c, k in zip(*(table.column(x).to_pylist() for x in ("doc_id", "cid", "keys"))):
                     known.setdefault(d, []).append((c, k))
@@ -459,17 +459,15 @@ def keep_one(
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "members")
     best = F.min(F.element_at("members", 1)["doc_id"]).over(Window.partitionBy("root"))
     losers = grouped.withColumn("best", best).select("best", F.explode("members").alias("m")).where("m.doc_id <> best").select("m.doc_id", "m.part").distinct()
-    _, path = common.written_at(losers.repartition(max(1, common.shuffle_width(spark)), "part").sortWithinPartitions("part"), "jaccard-losers")
+    where = common.written_by_part(losers, "jaccard-losers")
     at = docs.columns.index(id_col)
 
     def keep(batches):
-        import pyarrow.dataset as ds
-
         gone = None
         for b in batches:
             if gone is None:
-                gone = ds.dataset(path, format="parquet").to_table(columns=["doc_id"], filter=ds.field("part") == TaskContext.get().partitionId()).column(0).combine_chunks()
-            yield b.filter(pc.invert(pc.is_in(b.column(at), value_set=gone.cast(b.column(at).type), skip_nulls=True)))
+                gone = common.read_part(where, TaskContext.get().partitionId(), pa.schema([("doc_id", b.schema.field(at).type)])).column(0).combine_chunks()
+            yield b.filter(pc.invert(pc.is_in(b.column(at), value_set=gone, skip_nulls=True)))
 
     return docs.mapInArrow(keep, docs.schema).toDF(*names)
 
