@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FILING_ID = r"^(.+?)-(\d{4}-\d{2}-\d{2})-([A-Za-z]+)-([A-Z]{2})-(\d+)$"
+FILING_ID = "^" + "-".join((r"(.+?)", r"([0-9]{4}-[0-9]{2}-[0-9]{2})", r"([a-zA-Z]+)", r"([A-Z][A-Z])", r"([0-9]+)")) + "$"
 TOPIC = r"^[A-Z]+[0-9]+"
 ANCHORS = (
     "ESRS",
@@ -83,13 +83,13 @@ def absolute_url(url: Column, base: str) -> Column:
 
 def safe_name(c: Column, most: int = 120) -> Column:
     """Each character that a file name shouldn't have becomes '_'; cut to `most` characters."""
-    return F.substring(F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_"), 1, most)
+    return F.substring(F.regexp_replace(c, r"[^\w.\-]", "_"), 1, most)
 
 
 def safe_upload_name(c: Column) -> Column:
     """The last path segment with runs of other characters as one '_', without dots and underscores at either end."""
     last = F.regexp_extract(c, r"([^/]+)$", 1)
-    return F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.regexp_replace(F.regexp_replace(last, r"[^\w.\-]+", "_"), r"^[._]+|[._]+$", "")
 
 
 def package_name(lei: Column, period_end: Column, sha: Column) -> Column:

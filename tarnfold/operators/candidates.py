@@ -41,7 +41,7 @@ def message_content(response: Column) -> Column:
 
 def json_text(content: Column) -> Column:
     """The JSON in an answer: what is in a fence, else all of it; if that is no JSON, from the first bracket to the last; else NULL."""
-    fence = r"(?is)```(?:json)?\s*(.*?)```"
+    fence = r"(?is)`{3}(?:json\b)?\s*(.*?)`{3}"
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     body = lambda text: F.when(F.contains(text, F.lit("```")) & text.rlike(fence), expr.stripped(F.regexp_extract(text, fence, 1))).otherwise(text)
     whole_or_cut = lambda b: F.coalesce(valid(b), expr.let(expr.part_of(b, r"(?s)([{\[].*[}\]])"), valid))

@@ -27,7 +27,7 @@ def flatten_page(pages: DataFrame, base_url: str) -> DataFrame:
         a("period_end").alias("period_end"),
         expr.fiscal_year(a("period_end")).alias("fiscal_year"),
         expr.hash_of(a("sha256")).alias("sha256"),
-        *(a(c).cast("string").alias(c) for c in ("error_count", "warning_count", "inconsistency_count", "processed", "date_added")),
+        *(a(c).cast("string").alias(c) for c in ("processed", "date_added", "error_count", "inconsistency_count", "warning_count")),
         *(expr.absolute_url(a(c), base_url).alias(c) for c in ("package_url", "json_url", "viewer_url")),
     )
 

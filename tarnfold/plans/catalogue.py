@@ -81,7 +81,7 @@ def fiscal_year(spark, d):
 
 
 @query("""WITH ids AS (SELECT o_orderkey, o_custkey || '-A-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || CASE WHEN o_orderkey % 7 = 0 THEN '12' ELSE 'ESEF' END || '-GB-' || (o_orderkey % 4) AS fxo FROM orders),
-parsed AS (SELECT *, regexp_extract(fxo, '^(.+?)-(\\d{4}-\\d{2}-\\d{2})-([A-Za-z]+)-([A-Z]{2})-(\\d+)$', ['lei', 'period_end', 'kind', 'country', 'seq']) AS p FROM ids)
+parsed AS (SELECT *, regexp_extract(fxo, '^(.+?)-([0-9]{4}-[0-9]{2}-[0-9]{2})-([[:alpha:]]+)-([A-Z][A-Z])-([0-9]+)$', ['lei', 'period_end', 'kind', 'country', 'seq']) AS p FROM ids)
 SELECT o_orderkey, nullif(p.lei, '') AS lei, nullif(p.kind, '') AS report_type, nullif(p.country, '') AS country, TRY_CAST(p.seq AS INTEGER) AS seq FROM parsed""")
 def filing_id_parse(spark, d):
     o = table(spark, d, "orders")
@@ -566,7 +566,7 @@ def benchmark_cases(spark, d):
     return f.agg(F.count_distinct("page_index").alias("packets"), F.count("*").alias("fragments"), F.count_distinct("kind").alias("kinds"))
 
 
-@query("""SELECT * FROM (VALUES ('E1-5', 'E1', 'MWh'), ('E1-6', 'E1', 'tCO2e'), ('E1-7', 'E1', NULL), ('E1-8', 'E1', NULL), ('E3-4', 'E3', 'm3'), ('S1', 'S1', NULL), ('G1', 'G1', NULL)) v(code, topic, unit)""")
+@query("""SELECT * FROM (VALUES ('G1', 'G1', NULL), ('S1', 'S1', NULL), ('E3-4', 'E3', 'm3'), ('E1-8', 'E1', NULL), ('E1-7', 'E1', NULL), ('E1-6', 'E1', 'tCO2e'), ('E1-5', 'E1', 'MWh')) v(code, topic, unit)""")
 def vocab_topics(spark, d):
     return schemas.datapoints(spark).select("code", "topic", "unit")
 

@@ -13,6 +13,9 @@ from .sources import archives
 from .sources.report_store import ReportStore
 
 
+JSON = "application/json; charset=utf-8"
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
 
@@ -41,7 +44,7 @@ def answer(spark: SparkSession, store: ReportStore, method: str, path: str, body
     return 404, {"error": "no such path"}
 
 
-def serve(spark: SparkSession, store: ReportStore, host: str = "127.0.0.1", port: int = 8765) -> None:
+def serve(spark: SparkSession, store: ReportStore, host: str, port: int) -> None:
     class Handler(BaseHTTPRequestHandler):
         def _do(self, method: str) -> None:
             try:
@@ -51,8 +54,8 @@ def serve(spark: SparkSession, store: ReportStore, host: str = "127.0.0.1", port
                 status, out = 400, {"error": str(e)}
             data = json.dumps(out, ensure_ascii=False).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
-            self.send_header("Content-Length", str(len(data)))
+            for name, value in (("Content-Length", str(len(data))), ("Content-Type", JSON)):
+                self.send_header(name, value)
             self.end_headers()
             self.wfile.write(data)
 

@@ -47,7 +47,8 @@ def walk_pages(fetch: Fetch, url: str, most: int | None = None, delay: float = D
     while url and url not in seen and (most is None or number < most):
         seen.add(url)
         body = fetch_again(fetch, url, sleep=sleep).decode()
-        url = (json.loads(body).get("links") or {}).get("next") or ""
+        links = json.loads(body).get("links")
+        url = links["next"] or "" if links and "next" in links else ""
         yield number, body, not url or url in seen
         number += 1
         if url:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -14,12 +15,15 @@ from ..functions import expr
 from ..schemas import PAGES
 
 
+_PAGE = re.compile(r"\.x?html$", re.I)
+
+
 def report_page(content: bytes | None) -> tuple[str | None, bool]:
     """(text of the first .xhtml or .html member, whether the archive is sound); (None, False) for what is no archive."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            name = next((n for n in z.namelist() if n.lower().endswith((".xhtml", ".html"))), None)
-            return (z.read(name).decode("utf-8", "ignore") if name else None), z.testzip() is None
+            pages = [i for i in z.infolist() if _PAGE.search(i.filename)]
+            return (z.read(pages[0]).decode("utf-8", "ignore") if pages else None), z.testzip() is None
     except Exception:  # noqa: BLE001 - any damage means that there is no page
         return None, False
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +62,17 @@ def write_models(models: DataFrame, path: str) -> None:
     models.write.mode("overwrite").json(path)
 
 
+_SETTING = re.compile(r"\s*(?P<key>[^#\s=][^=\s]*)\s*=\s*(?P<value>.*?)\s*$")
+
+
 def settings(path: str | None = None, environ: dict[str, str] | None = None, defaults: dict[str, str] | None = None) -> dict[str, str]:
     """KEY=VALUE lines with comments and quotes; the environment wins over the file, the file over defaults."""
     found = dict(defaults or {})
     if path and os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             for line in f:
-                key, sign, value = line.strip().partition("=")
-                if sign and key.strip() and not key.lstrip().startswith("#"):
-                    found[key.strip()] = value.strip().strip("\"'")
+                if m := _SETTING.match(line):
+                    found[m["key"]] = m["value"].strip("\"'")
     env = os.environ if environ is None else environ
     return found | {k: env[k] for k in list(found) + [k for k in env if k.startswith("TARNFOLD_")] if env.get(k)}
 

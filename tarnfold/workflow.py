@@ -35,8 +35,9 @@ class State:
 
 def steps(completed: bool = False, api_completed: bool = False) -> list[dict[str, str]]:
     """The workflow's steps with their mode and status."""
-    api = "completed" if api_completed else "planned_not_run" if completed else "planned"
-    return [{"step": s, "mode": m, "status": api if m == "api" else "completed" if completed else "pending"} for s, m in STEPS]
+    local = ("pending", "completed")[completed]
+    paid = "completed" if api_completed else ("planned", "planned_not_run")[completed]
+    return [{"step": s, "mode": m, "status": {"api": paid, "local": local}[m]} for s, m in STEPS]
 
 
 def prepare(pages: DataFrame) -> State:

@@ -102,7 +102,7 @@ def test_ledger(spark):
 
 
 def response(content):
-    return json.dumps({"choices": [{"message": {"content": content}}]})
+    return json.dumps(dict(choices=[dict(message=dict(content=content))]))
 
 
 ANSWERS = [

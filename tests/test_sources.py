@@ -127,7 +127,7 @@ def test_workflow_store_and_service(spark, tmp_path):
         s.save_state(workflow.run_local(pages), pages.select("report_id", "sha256").distinct())
     row = s.listing().first()
     assert (row.report_id, row.page_count, row.packet_count, row.disclosure_count, row.result_count) == ("rep.v1", 3, 2, 2, 0)
-    answer = json.dumps({"choices": [{"message": {"content": '{"disclosures": [{"raw_label": "x", "raw_text": "y", "evidence_ids": ["nope"]}]}'}}]})
+    answer = json.dumps(dict(choices=[dict(message=dict(content='{"disclosures": [{"raw_label": "x", "raw_text": "y", "evidence_ids": ["nope"]}]}'))]))
     cloud = workflow.run_cloud(pages, lambda model, prompt: answer, "m", str(tmp_path / "answers"), most=1)
     assert cloud.status == "cloud_pipeline_completed" and [r.quality_flags for r in cloud.disclosures.collect()] == [["cloud_candidate", "missing_valid_evidence_id"]]
     s.save_state(cloud)
@@ -141,7 +141,7 @@ def test_workflow_store_and_service(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    raw = "api_id,fxo_id,lei,entity_name,country,report_type,seq,period_end,fiscal_year,sha256,error_count,warning_count,inconsistency_count,processed,date_added,package_url,json_url,viewer_url\n"
+    raw = ",".join(c.split()[0] for c in files.schemas.RAW_FILING.split(", ")) + "\n"
     (tmp_path / "raw.csv").write_text(raw + "1,f1,L1,One,GB,ESEF,0,2022-12-31,2022,aa,0,0,0,2023,2023,http://p,,\n2,f2,L1,One,GB,ESEF,1,2022-12-31,2022,bb,1,0,0,2023,2023,http://q,,\n")
     assert cli.main(["index", str(tmp_path / "raw.csv"), str(tmp_path / "out")], spark) == 0
     assert capsys.readouterr().out.count("PASS") == 5
