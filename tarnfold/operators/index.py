@@ -86,15 +86,15 @@ def dedup_restatement(filings: DataFrame, id_col: str = "api_id") -> DataFrame:
 def surrogate_ids(filings: DataFrame, to: str = "report_id", tie: str = "api_id") -> DataFrame:
     """R000001 and so on by (lei, period_end), NULLs last.
 
-    A global order is inherent; but rows are ranked within range partitions and shifted by the rows before, so that no task sees them all.
+    A global order is inherent, but only one small row for each entity goes through one task: filings are numbered within their entity, from
+    the count of all filings of the entities before it.
     """
-    ordered = filings.repartitionByRange(*(F.col(c).asc_nulls_last() for c in ("lei", "period_end", tie))).withColumn("_part", F.spark_partition_id())
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*(F.col(c).asc_nulls_last() for c in ("lei", "period_end", tie)))
-    number = F.col("_before") + F.row_number().over(w)
-    return ordered.join(F.broadcast(starts), "_part").withColumn(to, F.format_string("R%06d", number)).drop("_part", "_before")
+    counts = filings.groupBy("lei").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("lei").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("lei").alias("_lei"), before.alias("_before"))
+    w = Window.partitionBy("lei").orderBy(*(F.col(c).asc_nulls_last() for c in ("period_end", tie)))
+    numbered = filings.withColumn("_own", F.row_number().over(w)).join(starts, F.expr("lei <=> _lei"))
+    return numbered.withColumn(to, F.format_string("R%06d", F.col("_before") + F.col("_own"))).drop("_lei", "_before", "_own")
 
 
 def primary_index(filings: DataFrame, strict: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..runtime import importable
+
 PAGE_SIZE, DELAY = 200, 0.3
 RETRIES, BACKOFF, LONGEST_WAIT = 5, 1.5, 60.0
 RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
@@ -123,6 +125,7 @@ def download(wanted: DataFrame, fetch: Fetch, store: Callable[[str, bytes], None
                 time.sleep(delay)
             yield pd.DataFrame(rows, columns=["report_id", "file", "n_bytes", "actual_sha", "ok", "existed", "msg"])
 
+    importable(wanted.sparkSession)
     return wanted.select("report_id", "package_url", "file", "sha256").mapInPandas(run, "report_id string, file string, n_bytes long, actual_sha string, ok boolean, existed boolean, msg string")
 
 
@@ -138,5 +141,6 @@ def complete_tasks(tasks: DataFrame, completer: Callable[[str, str], str]) -> Da
                 took.append((time.perf_counter() - began) * 1000)
             yield b.drop(columns="prompt").assign(response=out, latency_ms=took)
 
+    importable(tasks.sparkSession)
     rows = tasks.select("request_id", "report_id", "model_id", "task_type", "prompt")
     return rows.mapInPandas(run, "request_id string, report_id string, model_id string, task_type string, response string, latency_ms double")

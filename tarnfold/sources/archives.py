@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..runtime import importable
 from ..schemas import PAGES
 
 
@@ -36,6 +37,7 @@ def packages(spark: SparkSession, folder: str) -> DataFrame:
             got = [report_page(c) for c in b["content"]]
             yield pd.DataFrame({"file": b["file"], "size": b["length"], "actual_sha": b["sha"], "page": [p for p, _ in got], "zip_ok": [ok for _, ok in got]})
 
+    importable(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
     raw = raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha"), "content")
     opened = raw.mapInPandas(unpack, "file string, size long, actual_sha string, page string, zip_ok boolean")
@@ -60,6 +62,7 @@ def documents(spark: SparkSession, folder: str, reader: Callable[[bytes], list[t
 
     from ..operators.evidence import page_flags
 
+    importable(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     raw = raw.select(expr.part_of(F.col("path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("report_id"), F.sha2("content", 256).alias("sha256"), "content")
     pages = raw.mapInPandas(read, PAGES.replace("quality_flags array<string>", "has_table boolean") + ", sha256 string")
