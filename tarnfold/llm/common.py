@@ -13,6 +13,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import importable
+
 _number = itertools.count()
 _SCAN_NODES = ("Relation", "Project", "Filter", "LogicalRelation", "SubqueryAlias", "View")
 
@@ -115,6 +117,7 @@ def numbered(df: DataFrame, *columns: str) -> tuple:
     Names that hold dots, or differ by case alone, can then do no harm; toDF(*df.columns) gives them back.
     """
     need(df, *columns)
+    importable(df.sparkSession)
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), *(f"c{df.columns.index(c)}" for c in columns)
 
 

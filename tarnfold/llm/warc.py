@@ -27,6 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import importable
 from . import common
 
 RANGE_BYTES = 32 << 20
@@ -80,6 +81,7 @@ def reachable(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def _ranges(spark: SparkSession, folder: str, range_bytes: int) -> DataFrame:
     """(path, size, start) of each range of each file in folder, or of the file that folder names."""
+    importable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size")).distinct()
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
     cut = files.where("size > 0").select("path", "size", starts.alias("start"))
