@@ -7,7 +7,7 @@
    by brute force; of more, those that resemble the whole node (on average (1 - slack) of the threshold) are compared with all of it and leave, and the rest is split again.
    Nodes that no split makes smaller are compared in pairs of blocks.
 3. Runs come in batches. From the pairs found once and twice the number of missed ones is estimated, and batches
-   are added until the target recall is met.
+   are added until the target recall is met; if MAX_BATCHES of them don't meet it, a warning says so.
 4. Candidates are pairs whose MinHashes agree about as often as the threshold asks. Their gram sets are read in a second scan,
    each sent once to its group of candidates, and compared exactly: precision is 1.
 
@@ -20,6 +20,8 @@ its rows; rows without grams or ids stay. Texts are taken whole. Other columns,
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +39,7 @@ POSITIONS = 64
 LEAF = 48
 SLACK = 0.1
 RUNS = 3
-MAX_BATCHES = 5
+MAX_BATCHES = 20
 TARGET_RECALL = 0.98
 NODE_LIMIT = 50_000
 SPLITS = 5
@@ -309,6 +311,8 @@ def _candidates(classes: DataFrame, threshold: float, target_recall: float, runs
         missed = (total - 1) / total * seen["once"] * (seen["once"] - 1) / (2 * (seen["twice"] + 1))
         if seen["all"] >= target_recall * (seen["all"] + missed):
             break
+    else:
+        warnings.warn(f"{MAX_BATCHES} batches of runs don't reach a recall of {target_recall}: about {missed:.0f} of {seen['all'] + missed:.0f} pairs are missed", stacklevel=2)
     return found.select("a", "b")
 
 

@@ -10,7 +10,7 @@
 What is shuffled is 24 bytes a candidate, never content. A record may be longer than a range, and a header may cross from one range
 to the next.
 
-Defined results: only records whose whole content lies in the file and whose Content-Length is a number are part of a chain; a chain ends at the first
+Defined results: only records whose header has at most HEADER_BYTES, whose Content-Length is a number and whose whole content lies in the file are part of a chain; a chain ends at the first
 that breaks these rules (a cut-off file yields the records before the cut). An empty file has no records. Files that repeat in the list of files are read
 once. Headers are matched without case, the first of each name counts; folded header lines are continuations. write_files gives null ids, urls and contents an absent header, and
 a content of 0 bytes; read again they are null, null and empty. Rows that repeat are written as often as they occur. Other columns are not written.
