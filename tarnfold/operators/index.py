@@ -89,20 +89,20 @@ def surrogate_ids(filings: DataFrame, to: str = "report_id", tie: str = "api_id"
     A global order is inherent, but only one small row for each entity goes through one task: filings are numbered within their entity, from
     the count of all filings of the entities before it.
     """
-    counts = filings.groupBy("lei").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("lei").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("lei").alias("_lei"), before.alias("_before"))
-    w = Window.partitionBy("lei").orderBy(*(F.col(c).asc_nulls_last() for c in ("period_end", tie)))
-    numbered = filings.withColumn("_own", F.row_number().over(w)).join(starts, F.expr("lei <=> _lei"))
-    return numbered.withColumn(to, F.format_string("R%06d", F.col("_before") + F.col("_own"))).drop("_lei", "_before", "_own")
+    # the same two columns are the window's and the join's key, so that filings are shuffled once; NULL is a key of its own
+    keyed = filings.withColumn("_key", F.coalesce("lei", F.lit(""))).withColumn("_null", F.col("lei").isNull())
+    counts = keyed.groupBy("_key", "_null").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_null", "_key").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_key", "_null", F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_key", "_null").orderBy(*(F.col(c).asc_nulls_last() for c in ("period_end", tie)))
+    numbered = keyed.withColumn("_own", F.row_number().over(w)).join(starts, ["_key", "_null"])
+    return numbered.select(*filings.columns, F.format_string("R%06d", F.col("_before") + F.col("_own")).alias(to))
 
 
 def primary_index(filings: DataFrame, strict: bool = False) -> DataFrame:
     """Content dedup, restatement dedup with counts before and after, ids."""
-    raw = filings.groupBy("lei", "period_end").agg(F.count("*").alias("n_raw")).withColumnsRenamed({"lei": "_lei", "period_end": "_pe"})
-    kept = dedup_restatement(dedup_content(filings, strict))
-    counted = kept.join(raw, F.expr("lei <=> _lei AND period_end <=> _pe"), "left").drop("_lei", "_pe")
-    return surrogate_ids(counted)
+    counted = filings.withColumn("n_raw", F.count("*").over(Window.partitionBy("lei", "period_end")))
+    return surrogate_ids(dedup_restatement(dedup_content(counted, strict)))
 
 
 def entities_of(primary: DataFrame) -> DataFrame:
