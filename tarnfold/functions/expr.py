@@ -133,3 +133,15 @@ def flags(*pairs: tuple[Column, str | Column]) -> Column:
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(c, F.lit(high)))
+
+
+def box_size(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Struct (width, height) of a bounding box."""
+    return F.struct((x1 - x0).alias("width"), (y1 - y0).alias("height"))
+
+
+def fragment_kind_ok(kind: Column) -> Column:
+    """Whether a value is one of the kinds of evidence; NULL is none."""
+    from ..schemas import VOCABULARIES
+
+    return F.coalesce(kind.isin(sorted(VOCABULARIES["evidence_kind"])), F.lit(False))

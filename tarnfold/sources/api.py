@@ -144,3 +144,18 @@ def complete_tasks(tasks: DataFrame, completer: Callable[[str, str], str]) -> Da
     importable(tasks.sparkSession)
     rows = tasks.select("request_id", "report_id", "model_id", "task_type", "prompt")
     return rows.mapInPandas(run, "request_id string, report_id string, model_id string, task_type string, response string, latency_ms double")
+
+
+def refresh_models(fetch: Fetch, url: str, path: str) -> int:
+    """Fetch the list of models and keep it at path for read_models; the number of models. The old list stays if the new one is no JSON list."""
+    from pyarrow import fs as pafs
+
+    body = fetch_again(fetch, url)
+    listed = json.loads(body)
+    listed = listed.get("data", listed.get("models")) if isinstance(listed, dict) else listed
+    if not isinstance(listed, list):
+        raise ValueError(f"{url} holds no list of models")
+    system, inner = pafs.FileSystem.from_uri(path)
+    with system.open_output_stream(inner) as out:
+        out.write(json.dumps({"models": listed}, ensure_ascii=False).encode())
+    return len(listed)

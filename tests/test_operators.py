@@ -77,6 +77,14 @@ def test_expressions(spark):
     assert (row.l, row.m, row.o, row.q, row.t, row.z) == ("E", "529900ABC-X1", 0, 1, "E1", "a") and row.v != row.w
 
 
+def test_boxes_kinds_and_tables(spark):
+    from tarnfold.sources.archives import table_shape
+
+    df = spark.createDataFrame([(1.0, 2.0, 4.0, 8.0, "figure", [["a"], ["b", "c"]]), (0.0, 0.0, 0.0, 0.0, None, [])], "a double, b double, c double, d double, k string, t array<array<string>>")
+    row = df.select(expr.box_size(*(F.col(c) for c in "abcd")).alias("box"), expr.fragment_kind_ok(F.col("k")).alias("ok"), table_shape(F.col("t")).alias("shape")).collect()
+    assert tuple(row[0].box) == (3.0, 6.0) and [r.ok for r in row] == [True, False] and [tuple(r["shape"]) for r in row] == [(2, 2), (0, 0)]
+
+
 def test_coverage(spark):
     rows = [("2020", "A", "X"), ("2020", "B", "X"), (None, "A", "X"), ("2021", None, None)]
     df = spark.createDataFrame(rows, "fiscal_year string, report_type string, country string")

@@ -92,6 +92,14 @@ def test_models_and_uploads(spark, tmp_path):
     assert [(r.file_name, r.content and bytes(r.content)) for r in files.decode_upload(up).collect()] == [("a_b.pdf", b"x"), ("c", None)]
 
 
+def test_refresh_models(spark, tmp_path):
+    path = f"file://{tmp_path}/models.json"
+    assert api.refresh_models(lambda u: (200, {}, b'{"data": [{"id": "a"}, {"id": "b"}]}'), "u", path) == 2
+    with pytest.raises(ValueError):
+        api.refresh_models(lambda u: (200, {}, b'{"error": 1}'), "u", path)
+    assert [r.ordinal for r in files.read_models(spark, f"{tmp_path}/models.json").collect()] == [0, 1]
+
+
 def test_download_and_verify(spark, tmp_path):
     import hashlib
 
