@@ -12,7 +12,9 @@ Scoring is one pass over the documents without a shuffle.
 
 Defined results: null and empty texts and texts without words get language null and are rejected. Ties go to the
 alphabetically first language. A document is rejected when its posterior is under min_posterior or when fewer than min_coverage of its
-words are known or have a known gram of 3 characters or more. Null or rare labels (under min_label documents) train nothing. Every row is
+words are known or have a known gram of 3 characters or more, or when its 3-grams are unusual for the language: their mean log
+frequency (by word, then over the words) lies under the training documents' median by more than a tolerance and MAX_DEVIATIONS of what so many words differ by chance. The tolerance is
+what all but 1 - KEPT of the training documents need, scored without their own counts. Null or rare labels (under min_label documents) train nothing. Every row is
 judged by itself: repeated rows, null ids and other columns, whatever their names, are passed on.
 An empty table gives an empty result; without labels there is no model and every document is rejected.
 """
@@ -38,16 +40,25 @@ MIN_LABEL = 5
 MIN_POSTERIOR = 0.5
 MIN_COVERAGE = 0.2
 SMOOTHING = 0.5
+MAX_DEVIATIONS = 5.0
+KEPT = 0.999
+USUAL = 3
 _U = np.uint64
 
 
 @dataclass
 class Model:
-    """languages; for each kind (0 words, n for n-grams) sorted hashes and their log frequencies by language."""
+    """languages; for each kind (0 words, n for n-grams) sorted hashes and their log frequencies by language.
+
+    unseen: by language, the log frequency of an unseen 3-gram; usual: median and tolerance of the mean log
+    frequency of 3-grams, and its variance from word to word.
+    """
 
     languages: list[str]
     keys: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
+    unseen: np.ndarray | None = None
+    usual: np.ndarray | None = None
 
 
 def word_grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +143,66 @@ def fit(
         c = counts[mine]
         keys[k] = key[mine]
         logs[k] = np.log((c + SMOOTHING) / (c.sum(axis=0) + SMOOTHING * max(1, len(mine))))
-    return Model(languages, keys, logs)
+        if k == USUAL:
+            unseen = np.log(SMOOTHING / (c.sum(axis=0) + SMOOTHING * max(1, len(mine))))
+    model = Model(languages, keys, logs, unseen)
+    model.usual = _usual(drawn, model)
+    return model
+
+
+def _held_out(held):
+    """(lang, n, mean, variance) of the words' scores of each training document, by a model without that document."""
+
+    def run(batches):
+        model = held.value
+        for piece in slices(batches, "text"):
+            label = pc.index_in(piece.column("lang"), pa.array(model.languages, pa.string())).to_pylist()
+            out = []
+            for i, j in enumerate(label):
+                w = Words(piece.column("text").slice(i, 1))
+                if not len(w):
+                    continue
+                _, at, times = np.unique(w.hash, return_index=True, return_counts=True)
+                g, owner = word_grams([w.text(x) for x in at], USUAL)
+                key, gi = np.unique(g, return_inverse=True)
+                own = np.bincount(gi, weights=times[owner])
+                hit = _look_up(model.keys[USUAL], key)
+                size = SMOOTHING / np.exp(model.unseen[j])
+                count = np.where(hit >= 0, np.exp(model.logs[USUAL][hit, j]) * size - SMOOTHING - own, 0)
+                score = np.log((np.maximum(count, 0) + SMOOTHING) / (size - own[hit >= 0].sum()))[gi]
+                score = np.bincount(owner, weights=score) / np.bincount(owner)
+                mean = np.average(score, weights=times)
+                out.append((j, len(w), mean, np.average((score - mean) ** 2, weights=times)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out)], names=["lang", "n", "mean", "variance"])
+
+    return run
+
+
+def _usual(drawn: DataFrame, model: Model) -> np.ndarray:
+    held = drawn.sparkSession.sparkContext.broadcast(model)
+    found = drawn.mapInArrow(_held_out(held), "lang bigint, n bigint, mean double, variance double").toArrow()
+    lang, n, mean, variance = (found.column(c).to_numpy() for c in ("lang", "n", "mean", "variance"))
+    out = np.tile([-np.inf, 0.0, 0.0], (len(model.languages), 1))
+    for j in range(len(model.languages)):
+        mine = lang == j
+        if mine.any():
+            middle, word = np.median(mean[mine]), np.median(variance[mine])
+            spread = 1.4826 * np.median(np.abs(mean[mine] - middle))
+            needed = np.quantile(middle - mean[mine] - MAX_DEVIATIONS * np.sqrt(word / n[mine]), KEPT)
+            out[j] = middle, max(needed, MAX_DEVIATIONS * spread), word
+    return out
+
+
+def usualness(model: Model, words: Words) -> np.ndarray:
+    """For each word the mean log frequency of its 3-grams, by language."""
+    _, at, inv = np.unique(words.hash, return_index=True, return_inverse=True)
+    g, owner = word_grams([words.text(i) for i in at], USUAL)
+    hit = _look_up(model.keys[USUAL], g)
+    count = np.maximum(np.bincount(owner, minlength=len(at)), 1)
+    known = hit >= 0
+    out = [np.bincount(owner, weights=np.where(known, model.logs[USUAL][hit, j] if len(model.logs[USUAL]) else 0, model.unseen[j]), minlength=len(at)) / count for j in range(len(model.languages))]
+    return np.column_stack(out)[inv]
 
 
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -170,7 +240,7 @@ def score_words(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def judge(model: Model | None, column: pa.Array, min_posterior: float, min_coverage: float) -> dict[str, pa.Array]:
     n = len(column)
-    best = np.full(n, -1)
+    best, usual = np.full(n, -1), np.ones(n, bool)
     posterior, coverage = np.zeros(n), np.zeros(n)
     words = Words(column)
     if model is not None and len(words):
@@ -182,8 +252,12 @@ def judge(model: Model | None, column: pa.Array, min_posterior: float, min_cover
         best[have] = np.where(scored > 0, top, -1)
         posterior[have] = np.where(scored > 0, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0)
         coverage[have] = np.add.reduceat(((level == 0) | (level >= 3)).astype(np.int64), words.first[have]) / words.counts[have]
+        if model.usual is not None:
+            mean = np.add.reduceat(usualness(model, words), words.first[have], axis=0)[np.arange(len(have)), top] / words.counts[have]
+            middle, tolerance, word = model.usual[top].T
+            usual[have] = mean >= middle - tolerance - MAX_DEVIATIONS * np.sqrt(word / words.counts[have])
     names = pa.array(model.languages if model else [], pa.string())
-    accepted = (best >= 0) & (posterior >= min_posterior) & (coverage >= min_coverage)
+    accepted = (best >= 0) & (posterior >= min_posterior) & (coverage >= min_coverage) & usual
     return {
         "predicted_lang": names.take(pa.array(best, pa.int64(), mask=best < 0)),
         "posterior": pa.array(posterior),

@@ -68,3 +68,21 @@ def test_no_labels_and_empty(spark):
     assert {r.accepted for r in L.identify(awkward.frame(spark), None).collect()} == {False}
     assert L.identify(awkward.empty(spark), None).count() == 0
     assert L.keep_identified(awkward.empty(spark), L.fit(docs(spark))).count() == 0
+
+
+POLISH = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+ENGLISH = "the people of this town have been working with their friends for many years and they know that there is nothing better than to be free in all that one does when others are not".split()
+
+
+def test_texts_of_no_trained_language_are_rejected(spark):
+    """Gibberish and an untrained language go, clean documents that trained nothing stay."""
+    r = random.Random(6)
+    spanish = "los hombres de esta ciudad han trabajado con sus amigos durante muchos años y saben que nada es mejor que ser libre en todo lo que uno hace cuando otros no lo son".split()
+    prose = lambda words, n=60: " ".join(r.choice(words) for _ in range(n))
+    model = L.fit(awkward.frame(spark, [awkward.row(2 * i + k, prose(words), lang) for i in range(60) for k, (words, lang) in enumerate([(ENGLISH, "en"), (spanish, "es")])]))
+    letters = lambda alphabet: " ".join("".join(r.choice(alphabet) for _ in range(r.randint(3, 9))) for _ in range(60))
+    bad = [letters("abcdefghijklmnopqrstuvwxyz"), letters("0123456789abcdef"), POLISH, letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")]
+    good = [prose(words, n) for words in (ENGLISH, spanish) for n in (5, 20, 60, 300)]
+    got = {x.doc_id: x.accepted for x in L.identify(awkward.frame(spark, [awkward.row(i, t) for i, t in enumerate(bad + good)]), model).collect()}
+    assert [got[i] for i in range(len(bad))] == [False] * len(bad)
+    assert [got[len(bad) + i] for i in range(len(good))] == [True] * len(good)
