@@ -99,12 +99,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def is_plain_scan(df: DataFrame) -> bool:
-    """Whether each partition of df is a fixed piece of files, so that a second scan yields the same partitions."""
+    """Whether each partition of df is a fixed piece of files, so that a second scan yields the same partitions (see pin_scans)."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = [line.lstrip(" :+-!'").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
     return bool(nodes) and all(n in _SCAN_NODES for n in nodes) and nodes[-1] in ("Relation", "LogicalRelation") and bool(df.inputFiles())
 
 
+def pin_scans(spark: SparkSession) -> None:
+    """Cut files by a fixed number for the rest of the session, and not by the cores that happen to be there when a scan starts.
+
+    Without this, executors lost or gained between two scans of a table move rows to other partitions.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+
+
 def need(df: DataFrame, *columns: str) -> None:
     for c in columns:
         if c not in df.columns:

@@ -5,7 +5,7 @@
 2. An owner decodes the pieces of all partitions and answers each with a bitmap: which of its
    hashes occur more than once anywhere.
 3. The partition applies the bitmap to the piece that it kept, which leaves a list of suspect hashes.
-4. A second scan passes only suspect documents on. They alone are shuffled with their text, and
+4. A second scan, cut into the same partitions (common.pin_scans), passes only suspect documents on. They alone are shuffled with their text, and
    equality of the bytes decides; hashes that merely collide drop out here.
 
 Nothing is broadcast or collected. What is exchanged is about five bytes a document.
@@ -159,6 +159,7 @@ def _suspect_rows(docs: DataFrame, text_col: str, fp: str, owners: int | None) -
 
 
 def _stable(docs: DataFrame) -> DataFrame:
+    common.pin_scans(docs.sparkSession)
     return docs if common.is_plain_scan(docs) else common.written(docs, "dedup-input")
 
 

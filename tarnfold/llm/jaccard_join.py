@@ -8,7 +8,7 @@
    Nodes that no split makes smaller are compared in pairs of blocks.
 3. Runs come in batches. From the pairs found once and twice the number of missed ones is estimated, and batches
    are added until the target recall is met; if MAX_BATCHES of them don't meet it, a warning says so.
-4. Candidates are pairs whose MinHashes agree about as often as the threshold asks. Their gram sets are read in a second scan,
+4. Candidates are pairs whose MinHashes agree about as often as the threshold asks. Their gram sets are read in a second scan, cut into the same partitions (common.pin_scans),
    each sent once to its group of candidates, and compared exactly: precision is 1.
 
 Texts are never shuffled; gram sets are for the classes in candidate pairs only.
@@ -411,6 +411,7 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 def _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit):
     docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    common.pin_scans(docs.sparkSession)
     if not common.is_plain_scan(narrow):
         narrow = common.written(narrow, "jaccard-input")
     classes = _classes(narrow, ngram)
@@ -456,6 +457,7 @@ def keep_one(
     """docs with one document of each connected group of similar ones: that with the smallest id."""
     spark, names = docs.sparkSession, docs.columns
     docs, id_col, text_col = common.numbered(docs, id_col, text_col)
+    common.pin_scans(spark)
     if not common.is_plain_scan(docs):
         docs = common.written(docs, "jaccard-input")
     _, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)

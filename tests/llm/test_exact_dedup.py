@@ -49,3 +49,26 @@ def test_scan_of_files_and_owners(spark, tmp_path):
 def test_empty(spark):
     assert X.find_copies(awkward.empty(spark)).count() == 0
     assert X.drop_copies(awkward.empty(spark)).count() == 0
+
+
+def test_cores_that_change_between_the_scans(spark, tmp_path):
+    """Files are cut by the cores that are there; a scan with fewer of them must find its lists all the same."""
+    data = [awkward.row(i, awkward.prose(i % 37, 20)) for i in range(300)]
+    awkward.frame(spark, data).repartition(7).write.parquet(str(tmp_path / "d"))
+    cores, pinned = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(pinned, None)
+    try:
+        for op in (X.find_copies, X.drop_copies):
+            spark.conf.unset(pinned)
+            spark.conf.set(cores, "8")
+            out = op(spark.read.parquet(str(tmp_path / "d")))
+            spark.conf.set(cores, "1")
+            if op is X.find_copies:
+                assert sorted(((r.doc_id, r.duplicate_of) for r in out.collect()), key=str) == brute(data)
+            else:
+                assert sorted(r.doc_id for r in out.collect()) == list(range(37))
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(pinned)
+        if before is not None:
+            spark.conf.set(pinned, before)

@@ -130,3 +130,22 @@ def test_awkward_and_empty(spark):
     assert sum(r.doc_id is None for r in kept) == 2
     assert J.similar_pairs(awkward.empty(spark)).count() == 0
     assert J.keep_one(awkward.empty(spark)).count() == 0
+
+
+def test_cores_that_change_between_the_scans(spark, tmp_path):
+    data = near_copies(seed=5)
+    awkward.frame(spark, data).repartition(7).write.parquet(str(tmp_path / "d"))
+    want = {r.doc_id for r in J.keep_one(awkward.frame(spark, data)).collect()}
+    cores, pinned = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(pinned, None)
+    try:
+        spark.conf.unset(pinned)
+        spark.conf.set(cores, "8")
+        out = J.keep_one(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set(cores, "1")
+        assert {r.doc_id for r in out.collect()} == want
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(pinned)
+        if before is not None:
+            spark.conf.set(pinned, before)
