@@ -6,22 +6,21 @@
    big for one task is split again by a further shuffle; smaller ones go on inside their task: up to leaf sets are compared
    by brute force; of more, those that resemble the whole node (on average (1 - slack) of the threshold) are compared with all of it and leave, and the rest is split again.
    Nodes that no split makes smaller are compared in pairs of blocks.
-3. Runs come in batches. From the pairs found once and twice the number of missed ones is estimated, and batches
-   are added until the target recall is met; if MAX_BATCHES of them don't meet it, a warning says so.
-4. Candidates are pairs whose MinHashes agree about as often as the threshold asks. Their gram sets are read in a second scan, cut into the same partitions (common.pin_scans),
+3. Runs come in batches. From the pairs found once and twice the number of missed ones is estimated, and the same for classes by the best pair of
+   each; batches are added until both meet the target recall, however many it takes, as every run finds some of what is missed.
+4. Candidates are pairs whose MinHashes agree in at least as many positions as the threshold asks less three standard deviations (20 of 64 at 0.5; a pair that lies
+   exactly at the threshold falls below with a chance of 0.1 %, one at 0.55 of 0.003 %). Their gram sets are read in a second scan, cut into the same partitions (common.pin_scans),
    each sent once to its group of candidates, and compared exactly: precision is 1.
 
 Texts are never shuffled; gram sets are for the classes in candidate pairs only.
 
 Defined results: words and grams are those of text_kernel; a text of fewer words than n is one gram. Null and empty texts, and texts without words, have no grams and
-are in no pair, and neither are rows with a null id. Rows that repeat an id name the same document once in a class. In keep_one the smallest id of each connected group stays, with all of
+are in no pair, and neither are rows with a null id. Rows that repeat an id with the same grams are one document; those with other grams are another one under the same id. In keep_one the smallest id of each connected group stays, with all of
 its rows; rows without grams or ids stay. Texts are taken whole. Other columns, of any name, are passed on by keep_one and ignored otherwise. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
-from .text_kernel import Words, mix64, signatures, slices
+from .text_kernel import WORD_SQL, Words, mix64, signatures, slices
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -39,9 +38,9 @@ POSITIONS = 64
 LEAF = 48
 SLACK = 0.1
 RUNS = 3
-MAX_BATCHES = 20
 TARGET_RECALL = 0.98
 NODE_LIMIT = 50_000
+BLOCK = 1_000
 SPLITS = 5
 SEED = 20240711
 _U = np.uint64
@@ -108,12 +107,17 @@ def _sets(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g[new], np.searchsorted(d[new], np.arange(len(first)))
 
 
-def _classes(docs: DataFrame, ngram: int) -> DataFrame:
-    """One row for each distinct gram set: cid, its members (doc_id, part), and the MinHash; written."""
+def _classes(docs: DataFrame, ngram: int) -> tuple[DataFrame, DataFrame]:
+    """(one row for each distinct id and gram set: cid, doc_id, part; one for each gram set: cid, its smallest member, the number of members, the MinHash).
+
+    Members are rows and never lists, so that a class may hold any share of the documents; classes are aggregated before they are shuffled.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.mapInArrow(_sketch(ngram), f"doc_id {kind}, part int, cid bigint, check bigint, sig binary")
-    grouped = rows.groupBy("cid", "check").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("members"), F.min("sig").alias("sig"))
-    return common.written(grouped.drop("check"), "jaccard-classes")
+    rows = common.written(docs.mapInArrow(_sketch(ngram), f"doc_id {kind}, part int, cid bigint, check bigint, sig binary"), "jaccard-sketch")
+    members = rows.select("cid", "doc_id", "part").distinct()
+    counted = members.groupBy("cid").agg(F.count_distinct("doc_id").alias("n"))
+    grouped = rows.groupBy("cid", "check").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.min("sig").alias("sig"))
+    return members, common.written(grouped.drop("check").join(counted, "cid"), "jaccard-classes")
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -291,12 +295,19 @@ def _compare(threshold: float, least: int):
     return run
 
 
+def _missed(counts, total: int) -> float:
+    """How many were never found in total runs, by those that were found once and twice."""
+    return (total - 1) / total * counts["once"] * max(counts["once"] - 1, 0) / (2 * (counts["twice"] + 1))
+
+
 def _candidates(classes: DataFrame, threshold: float, target_recall: float, runs: int, node_limit: int) -> DataFrame:
     """Distinct pairs (a, b) of class ids, a < b; written."""
     spark = classes.sparkSession
     least = int(np.floor(POSITIONS * (threshold - 3 * np.sqrt(threshold * (1 - threshold) / POSITIONS))))
     batches: list[DataFrame] = []
-    for k in range(MAX_BATCHES):
+    tally = [F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")]
+    while True:
+        k = len(batches)
         nodes = _nodes(classes, range(k * runs, (k + 1) * runs), node_limit)
         sorted_ = nodes.repartition(max(1, common.shuffle_width(spark)), "node").sortWithinPartitions("node")
         pairs = sorted_.mapInArrow(_compare(threshold, max(1, least)), "a bigint, b bigint, run int, agree int")
@@ -306,14 +317,12 @@ def _candidates(classes: DataFrame, threshold: float, target_recall: float, runs
             union = union.unionByName(x)
         found = common.written(union.groupBy("a", "b").agg(F.count_distinct("run").alias("n"), F.max("agree").alias("agree")), "jaccard-candidates")
         # recall is promised for pairs over the threshold; those below, which are found less often, don't count
-        seen = found.where(F.col("agree") >= POSITIONS * threshold).agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+        near = found.where(F.col("agree") >= POSITIONS * threshold)
+        # and for classes, by the best pair of each, so that the many pairs of a large group don't speak for small ones
+        best = near.select(F.explode(F.array("a", "b")).alias("cid"), "n", "agree").groupBy("cid").agg(F.max(F.struct("agree", "n"))["n"].alias("n"))
         total = runs * (k + 1)
-        missed = (total - 1) / total * seen["once"] * (seen["once"] - 1) / (2 * (seen["twice"] + 1))
-        if seen["all"] >= target_recall * (seen["all"] + missed):
-            break
-    else:
-        warnings.warn(f"{MAX_BATCHES} batches of runs don't reach a recall of {target_recall}: about {missed:.0f} of {seen['all'] + missed:.0f} pairs are missed", stacklevel=2)
-    return found.select("a", "b")
+        if all(c["all"] >= target_recall * (c["all"] + _missed(c, total)) for c in (near.agg(*tally).first(), best.agg(*tally).first())):
+            return found.select("a", "b")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -336,19 +345,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram: int, threshold: float, block: int = 20_000) -> DataFrame:
-    """(a, b, jaccard) of the candidates that meet the threshold, compared by their whole gram sets; written."""
+def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates that meet the threshold, compared by their whole gram sets; written.
+
+    A group of candidates is cut into blocks of about BLOCK sets, and each pair of blocks is a unit of work (key) of its own.
+    """
     spark = docs.sparkSession
     width = max(1, common.shuffle_width(spark))
     roots = components(candidates)
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("root")) / block)
-    placed = roots.select("node", "root", blocks.alias("blocks"))
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = roots.join(sizes, "root").select("node", "root", "blocks")
     block_of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    keyed = candidates.join(placed, F.col("a") == F.col("node")).select("a", "b", F.pmod(F.xxhash64("root", block_of("a"), block_of("b")), F.lit(1 << 40)).alias("key"))
-    keyed = common.written(keyed, "jaccard-keyed")
+    pair = F.xxhash64("root", F.least(block_of("a"), block_of("b")), F.greatest(block_of("a"), block_of("b")))
+    keyed = common.written(candidates.join(placed, F.col("a") == F.col("node")).select("a", "b", pair.alias("key")), "jaccard-keyed")
     wanted = keyed.select("key", F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.collect_set("key").alias("keys"))
-    first = F.element_at("members", 1)
-    lists = wanted.join(classes.select("cid", first["part"].alias("part"), first["doc_id"].alias("doc_id")), "cid")
+    lists = wanted.join(classes.select("cid", F.col("first")["part"].alias("part"), F.col("first")["doc_id"].alias("doc_id")), "cid")
     where = common.written_by_part(lists, "jaccard-wanted")
     listed = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -377,27 +388,30 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram:
                     if prints.get(k) == c:
                         rows += [(key, c, distinct[at[k] : at[k + 1]].tobytes()) for key in keys]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "cid", "grams"])
-
-    sets = docs.mapInArrow(read, "key bigint, cid bigint, grams binary")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {(k, c): np.frombuffer(g.as_buffer(), _U) for k, c, g in zip(left.column("key").to_pylist(), left.column("cid").to_pylist(), left.column("grams"))}
-        out = []
-        for k, a, b in zip(*(right.column(x).to_pylist() for x in ("key", "a", "b"))):
-            x, y = held[k, a], held[k, b]
-            common_ = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) < 4 else _shared(x, y)
-            j = common_ / (len(x) + len(y) - common_)
-            if j >= threshold:
-                out.append((a, b, j))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "jaccard": pa.array([x[2] for x in out], pa.float64())})
-
-    bins = 4 * width
-    bin_of = F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin")
-    compared = (
-        sets.withColumn("bin", bin_of).groupBy("bin").cogroup(keyed.withColumn("bin", bin_of).groupBy("bin")).applyInArrow(compare, "a bigint, b bigint, jaccard double")
-    )
-    return common.written(compared, "jaccard-verified")
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "a", "grams"])
+
+    def compare(batches):
+        key, held = None, {}
+        for t in batches:
+            out = []
+            for k, a, b, g in zip(t.column("key").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("grams")):
+                if k != key:
+                    key, held = k, {}
+                if g.is_valid:
+                    held[a] = np.frombuffer(g.as_py(), _U)
+                    continue
+                x, y = held[a], held[b]
+                both = _shared(x, y)
+                j = both / (len(x) + len(y) - both)
+                if j >= threshold:
+                    out.append((a, b, j))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["a", "b", "jaccard"])
+
+    sets = docs.mapInArrow(read, "key bigint, a bigint, grams binary").select("key", "a", F.lit(None).cast("bigint").alias("b"), "grams")
+    work = sets.unionByName(keyed.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
+    # a key's sets come before its pairs; at any time a task holds the sets of one key, at most about two blocks
+    stream = work.repartition(width, "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
+    return common.written(stream.mapInArrow(compare, "a bigint, b bigint, jaccard double"), "jaccard-verified")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -409,16 +423,25 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit):
+    """(docs as they are scanned, members, classes, verified pairs of classes)."""
     docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common.pin_scans(docs.sparkSession)
     if not common.is_plain_scan(narrow):
         narrow = common.written(narrow, "jaccard-input")
-    classes = _classes(narrow, ngram)
-    return narrow, classes, _verified(narrow, classes, _candidates(classes, threshold, target_recall, runs, node_limit), ngram, threshold)
+    members, classes = _classes(narrow, ngram)
+    return members, classes, _verified(narrow, classes, _candidates(classes, threshold, target_recall, runs, node_limit), ngram, threshold)
 
 
-def similar_pairs(
+def _grouped(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cid, n, class_id) of every class: class_id is the smallest id of the connected group."""
+    roots = components(pairs)
+    placed = classes.select("cid", "n", F.col("first")["doc_id"].alias("smallest")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    least = placed.where("node IS NOT NULL").groupBy("root").agg(F.min("smallest").alias("least"))
+    return placed.join(least, "root", "left").select("cid", "n", F.coalesce("least", "smallest").alias("class_id"))
+
+
+def linked_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -428,20 +451,40 @@ def similar_pairs(
     runs: int = RUNS,
     node_limit: int = NODE_LIMIT,
 ) -> DataFrame:
-    """(doc_ids, other_ids, jaccard): all pairs of documents whose gram sets have at least the threshold's Jaccard index.
+    """(doc_id, class_id, n_copies, n_links): one row for each document that is similar to another one.
 
-    Documents with the same gram set are one list. A row says that each of doc_ids has that index with each of other_ids; the list with the smaller
-    first id comes first. In a row whose two lists are equal, the documents have the same grams as each other, and jaccard is 1.
+    class_id is the smallest id of its connected group; n_copies counts the other documents with the same gram set, n_links those with a different
+    gram set of at least the threshold's Jaccard index.
     """
-    _, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
-    ids = classes.select("cid", F.array_sort(F.array_distinct(F.transform("members", lambda m: m["doc_id"]))).alias("ids"))
-    one = ids.select(F.col("cid").alias("a"), F.col("ids").alias("ids_a"))
-    two = ids.select(F.col("cid").alias("b"), F.col("ids").alias("ids_b"))
-    both = pairs.join(one, "a").join(two, "b")
-    swap = F.col("ids_a")[0] > F.col("ids_b")[0]
-    across = both.select(F.when(swap, F.col("ids_b")).otherwise(F.col("ids_a")).alias("doc_ids"), F.when(swap, F.col("ids_a")).otherwise(F.col("ids_b")).alias("other_ids"), "jaccard")
-    within = ids.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.col("ids").alias("other_ids"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within)
+    members, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
+    both = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
+    sizes = classes.select(F.col("cid").alias("other"), F.col("n").alias("of_other"))
+    links = both.join(sizes, "other").groupBy("cid").agg(F.sum("of_other").alias("n_links"))
+    told = _grouped(classes, pairs).join(links, "cid", "left").where("n > 1 OR n_links IS NOT NULL")
+    told = told.select("cid", "class_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return members.select("cid", "doc_id").distinct().join(told, "cid").select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def similar_pairs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ngram: int = NGRAM,
+    threshold: float = THRESHOLD,
+    target_recall: float = TARGET_RECALL,
+    runs: int = RUNS,
+    node_limit: int = NODE_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, other_id, jaccard): pairs of representatives; (doc_id, representative): all documents).
+
+    Documents with the same gram set are represented by the one with the smallest id. Two documents have at least the threshold's Jaccard index
+    if they have the same representative or their representatives are a pair; no such link is left out.
+    """
+    members, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
+    ids = classes.select("cid", F.col("first")["doc_id"].alias("id"))
+    both = pairs.join(ids.toDF("a", "one"), "a").join(ids.toDF("b", "two"), "b")
+    across = both.select(F.least("one", "two").alias("doc_id"), F.greatest("one", "two").alias("other_id"), "jaccard")
+    return across, members.select("cid", "doc_id").distinct().join(ids, "cid").select("doc_id", F.col("id").alias("representative"))
 
 
 def keep_one(
@@ -460,11 +503,8 @@ def keep_one(
     common.pin_scans(spark)
     if not common.is_plain_scan(docs):
         docs = common.written(docs, "jaccard-input")
-    _, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
-    roots = components(pairs)
-    grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "members")
-    best = F.min(F.element_at("members", 1)["doc_id"]).over(Window.partitionBy("root"))
-    losers = grouped.withColumn("best", best).select("best", F.explode("members").alias("m")).where("m.doc_id <> best").select("m.doc_id", "m.part").distinct()
+    members, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
+    losers = members.join(_grouped(classes, pairs).select("cid", "class_id"), "cid").where("doc_id <> class_id").select("doc_id", "part").distinct()
     where = common.written_by_part(losers, "jaccard-losers")
     at = docs.columns.index(id_col)
 
@@ -479,7 +519,27 @@ def keep_one(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ')"
+    """Every document of the table that is similar to another one, with its group and the number of its links."""
+    return linked_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ')"
+
+#: Counts shared grams of all pairs and walks groups recursively: meant for the sizes of tests.
+ORACLE_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({_FOLDED}, '{WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {NGRAM} THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + {NGRAM - 1}], ' ') END AS gram
+  FROM worded, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - {NGRAM - 2}))) AS i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b, s.n = x.n AND s.n = y.n AS same FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE s.n >= {THRESHOLD} * (x.n + y.n - s.n)
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS at FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.at
+), smallest AS (SELECT doc_id, min(at) AS class_id FROM reached GROUP BY doc_id)
+SELECT l.a AS doc_id, any_value(class_id) AS class_id, count(*) FILTER (same) AS n_copies, count(*) FILTER (NOT same) AS n_links
+FROM links l JOIN smallest s ON s.doc_id = l.a GROUP BY l.a
+"""

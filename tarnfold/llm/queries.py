@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_html_extraction": html_blocks.ORACLE_SQL,
+        "op4_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,

@@ -25,13 +25,32 @@ def brute(rows, threshold):
     return out
 
 
-def pairs(df):
-    out = set()
-    for r in df.collect():
-        out |= {(min(a, b), max(a, b)) for a in r.doc_ids for b in r.other_ids if a != b}
+def pairs(found):
+    across, members = found
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.representative, set()).add(r.doc_id)
+    out = {(a, b) for held in of.values() for a in held for b in held if a < b}
+    for r in across.collect():
+        assert r.doc_id < r.other_id
+        out |= {(min(a, b), max(a, b)) for a in of[r.doc_id] for b in of[r.other_id] if a != b}
     return out
 
 
+def groups_of(links):
+    parent = {x: x for p in links for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
 def near_copies(groups=25, words=80, seed=1):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
@@ -109,17 +128,23 @@ def test_keep_one(spark):
     assert kept.schema == df.schema
     left = {r.doc_id for r in kept.collect()}
     want = pairs(J.similar_pairs(df))
-    parent = {r[0]: r[0] for r in data}
+    group = groups_of(want)
+    assert left == {r[0] for r in data if group.get(r[0], r[0]) == r[0]}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in want:
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    assert left == {x for x in parent if find(x) == x}
+def test_linked_documents(spark, monkeypatch):
+    """Rows, groups and counts against brute force; a group of 300 copies, and verification in many small blocks."""
+    data = near_copies(seed=6) + [awkward.row(5000 + i, awkward.prose(77, 40)) for i in range(300)]
+    text, want = {r[0]: grams(r[1]) for r in data}, brute(data, 0.5)
+    group = groups_of(want)
+    for block in (J.BLOCK, 3):
+        monkeypatch.setattr(J, "BLOCK", block)
+        got = {r.doc_id: tuple(r)[1:] for r in J.linked_documents(awkward.frame(spark, data)).collect()}
+        counts = {x: [0, 0] for x in group}
+        for a, b in want:
+            for x in (a, b):
+                counts[x][text[a] != text[b]] += 1
+        assert got == {x: (group[x], *counts[x]) for x in group}
 
 
 def test_awkward_and_empty(spark):
@@ -128,7 +153,9 @@ def test_awkward_and_empty(spark):
     kept = J.keep_one(df).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 9, 10, 12, 14, 15, 16, 17]
     assert sum(r.doc_id is None for r in kept) == 2
-    assert J.similar_pairs(awkward.empty(spark)).count() == 0
+    assert [x.count() for x in J.similar_pairs(awkward.empty(spark))] == [0, 0]
+    assert J.linked_documents(awkward.empty(spark)).count() == 0
+    assert {r.doc_id for r in J.linked_documents(df).collect()} == {x for p in brute(awkward.rows(), 0.5) for x in p}
     assert J.keep_one(awkward.empty(spark)).count() == 0
 
 
