@@ -538,8 +538,8 @@ shared AS (
 ), links AS (
   SELECT a, b, s.n = x.n AND s.n = y.n AS same FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE s.n >= {THRESHOLD} * (x.n + y.n - s.n)
 ), reached AS (
-  SELECT DISTINCT a AS doc_id, a AS at FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.at
-), smallest AS (SELECT doc_id, min(at) AS class_id FROM reached GROUP BY doc_id)
+  SELECT DISTINCT a AS doc_id, a AS seen FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.seen
+), smallest AS (SELECT doc_id, min(seen) AS class_id FROM reached GROUP BY doc_id)
 SELECT l.a AS doc_id, any_value(class_id) AS class_id, count(*) FILTER (same) AS n_copies, count(*) FILTER (NOT same) AS n_links
 FROM links l JOIN smallest s ON s.doc_id = l.a GROUP BY l.a
 """
