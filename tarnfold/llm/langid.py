@@ -14,7 +14,7 @@ Defined results: null and empty texts and texts without words get language null
 alphabetically first language. A document is rejected when its posterior is under min_posterior or when fewer than min_coverage of its
 words are known or have a known gram of 3 characters or more, or when its 3-grams are unusual for the language: their mean log
 frequency (by word, then over the words) lies under the training documents' median by more than a tolerance and MAX_DEVIATIONS of what so many words differ by chance. The tolerance is
-what all but 1 - KEPT of the training documents need, scored without their own counts. Null or rare labels (under min_label documents) train nothing. Every row is
+what all but 1 - KEPT of the training documents need, scored without their own counts. Null or rare labels (under min_label documents) train nothing; all other labels are languages, however many. Every row is
 judged by itself: repeated rows, null ids and other columns, whatever their names, are passed on.
 An empty table gives an empty result; without labels there is no model and every document is rejected.
 """
@@ -120,7 +120,7 @@ def fit(
 ) -> Model | None:
     docs, text_col, lang_col = common.numbered(docs, text_col, lang_col)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= min_label).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= min_label).collect()}
     languages = sorted(sizes)
     if not languages:
         return None

@@ -1,7 +1,8 @@
 """Secret scans: candidates from every text, and a random forest that removes false positives.
 
 1. A candidate is a run of at least MIN_LENGTH characters of A-Z, a-z, 0-9, + / _ - = (a dot inside counts as well) with a letter and a digit in it, or with
-   capitals and small letters mixed inside, or a key's header line ("-----BEGIN ... KEY-----").
+   capitals and small letters mixed inside, or a key's header line ("-----BEGIN ... KEY-----"), or whatever stands after a name such as password or token and a sign of
+   assignment, from MIN_ASKED bytes on: up to the closing quote (on the line, at most 512 bytes), or to the next blank, quote, comma or semicolon.
 2. Features: length and character shares; transitions, as changes of character class and as mean surprise under the letter pairs of the dictionary;
    the share that dictionary words cover; what the path says; the words and signs before and after.
 3. The dictionary is made of the words that occur in most documents, counted over all of them.
@@ -40,8 +41,10 @@ LEAST_LEAF = 3
 FEATURES_A_SPLIT = 6
 SECRET_FROM = 0.5
 SEED = 20240919
+MIN_ASKED = 8
 _NEAR = 48
 _HEADER = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*(?:PRIVATE|SECRET) KEY(?: BLOCK)?-----")
+_NAMED = re.compile(rb"(?i)(?:key|token|secret|passwd|password|pwd|passphrase|credential|bearer|authorization)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}(?:\"([^\"\r\n]{8,512})\"|'([^'\r\n]{8,512})'|([^\s\"'`,;]{7,}[^\s\"'`,;.]))")
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-=."]] = True
 _ASKED = re.compile(r"(?i)(?:api|access|auth|private|client|signing|encryption|session|master|service)?[_\-. ]?(?:key|token|secret|passwd|password|pwd|passphrase|credential|bearer|authorization)s?\b")
@@ -85,10 +88,20 @@ def candidates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ok = (ends - starts >= MIN_LENGTH) & ((d > 0) & (lo + up > 0) | mixed)
     starts, ends = starts[ok], ends[ok]
     data = raw.tobytes()
-    headers = [m.span() for m in _HEADER.finditer(data)] if b"-----BEGIN " in data else []
+    # a run that holds "name=value" counts from the value on
+    named, headers = [], []
+    cuts = offsets.tolist()
+    for x, y in zip(cuts, cuts[1:]):
+        named += [next(m.span(g) for g in (1, 2, 3) if m.start(g) >= 0) for m in _NAMED.finditer(data, x, y)]
+        headers += [m.span() for m in _HEADER.finditer(data, x, y)]
+    if named:
+        first, last = (np.array(x, np.int64) for x in zip(*named))
+        at = np.searchsorted(first, ends, "left") - 1
+        over = (at >= 0) & (last[np.maximum(at, 0)] > starts)
+        starts, ends = np.concatenate([starts[~over], first]), np.concatenate([ends[~over], last])
     if headers:
-        starts = np.concatenate([starts, [a for a, _ in headers]]).astype(np.int64)
-        ends = np.concatenate([ends, [b for _, b in headers]]).astype(np.int64)
+        starts = np.concatenate([starts, [x for x, _ in headers]]).astype(np.int64)
+        ends = np.concatenate([ends, [y for _, y in headers]]).astype(np.int64)
     doc = np.searchsorted(offsets, starts, "right") - 1
     o = np.lexsort((starts, doc))
     return doc[o], starts[o], ends[o]
@@ -134,7 +147,7 @@ def features(value: str, before: str, after: str, path: str, lex: Lexicon) -> li
     n = len(value)
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in value]
     share = {k: kinds.count(k) / n for k in "dlus"}
-    counts = np.array([value.count(c) for c in set(value)]) / n
+    counts = np.array([value.count(c) for c in sorted(set(value))]) / n
     codes = _codes(value)
     surprise = lex.surprise
     left = before[-_NEAR:]
@@ -215,7 +228,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, l
                 gini = a * (na - a) / na + b * (nb - b) / nb
                 k = int(np.argmin(np.where(ok, gini, np.inf)))
                 if best is None or gini[k] < best[0]:
-                    best = (gini[k], int(f), float((v[k] + v[k + 1]) / 2))
+                    best = (gini[k], int(f), float(v[k]))
             if best is None:
                 continue
             _, feature[node], cut[node] = best
@@ -246,7 +259,9 @@ def labelled_findings(words: list[str], n: int = LABELLED, seed: int = SEED) ->
     uuid_ = lambda: "-".join(run(digits, k) for k in (8, 4, 4, 4, 12))
     joined = lambda: r.choice(["-", "_", "/", ".", ""]).join(r.choice([str.lower, str.title])(r.choice(words)) for _ in range(r.randint(3, 6))) + str(r.randint(0, 9999))
     harmless = [lambda: run(digits, r.choice([32, 40, 64])), uuid_, joined, lambda: "2024-0" + str(r.randint(1, 9)) + "-1" + str(r.randint(0, 9)) + "T10-" + run("0123456789", 6), lambda: "v" + ".".join(str(r.randint(0, 99)) for _ in range(3)) + "-" + r.choice(words) + "-build" + str(r.randint(1, 999))]
-    holder = [lambda: r.choice(["your_api_key_here_123", "XXXXXXXXXXXXXXXX0000", "REPLACE_WITH_TOKEN_1", "example-secret-value-1", "0000000000000000000a", "changeme-changeme-1", "abcdefghijklmnopqrstuvwxyz0123456789"])]
+    signs = alnum + "!@#$%^&*"
+    secret += [lambda: run(signs, r.randint(8, 15)), lambda: r.choice(words)[:8] + run("0123456789", 3) + r.choice("!@#$%") + r.choice(words)[:6], lambda: "-".join(r.choice(words) for _ in range(r.randint(4, 6)))]
+    holder = [lambda: r.choice(["changeme", "password", "none-given", "********", "${PASSWORD}", "<your-token>", "required", "see below", "os.environ"]), lambda: r.choice(["your_api_key_here_123", "XXXXXXXXXXXXXXXX0000", "REPLACE_WITH_TOKEN_1", "example-secret-value-1", "0000000000000000000a", "changeme-changeme-1", "abcdefghijklmnopqrstuvwxyz0123456789"])]
     paths = ["src3", "src17", "", "app/main.py", "config/prod.env", "deploy/settings.yml", "web", "notes.txt"]
     made = []
     for i in range(n):
@@ -263,7 +278,7 @@ def labelled_findings(words: list[str], n: int = LABELLED, seed: int = SEED) ->
             made.append((r.choice(harmless)(), prose(4) + " ", r.choice([" ", ". ", ", "]) + prose(3), path, 0))
         elif kind < 0.85:
             name, sign, quote = r.choice(key_names), r.choice([" = ", "=", ": "]), r.choice(['"', "'", ""])
-            made.append((holder[0](), prose(3) + " " + name + sign + quote, quote + " " + prose(3), path, 0))
+            made.append((r.choice(holder)(), prose(3) + " " + name + sign + quote, quote + " " + prose(3), path, 0))
         else:
             name, sign = r.choice(key_names), r.choice([" = ", ": "])
             made.append((joined(), prose(3) + " " + name + sign, " " + prose(3), path, 0))
@@ -329,7 +344,7 @@ def scan(docs: DataFrame, lex: Lexicon, forest: Forest, id_col: str = "doc_id",
                 value = data[s:e]
                 before = data[max(int(offsets[d]), s - 2 * _NEAR) : s].decode("utf-8", "ignore")
                 after = data[e : min(int(offsets[d + 1]), e + 2 * _NEAR)].decode("utf-8", "ignore")
-                x.append(features(value.decode(), before, after, paths[d] or "", words))
+                x.append(features(value.decode("utf-8", "replace"), before, after, paths[d] or "", words))
                 hashes.append(hashlib.sha256(value).hexdigest())
             vote = trees.vote(np.array(x))
             yield pa.RecordBatch.from_arrays(
@@ -344,4 +359,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = dictionary(docs)
     lex = lexicon_of(counted)
-    return scan(docs, lex, fit(labelled_findings(list(counted)[:2000]), lex))
+    return scan(docs, lex, fit(labelled_findings(list(counted)), lex))

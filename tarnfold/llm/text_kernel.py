@@ -10,7 +10,7 @@ Every operator that looks at words shares one definition:
 
 :data:`WORD_SQL` is the same definition as an RE2 pattern for the SQL oracles.
 Null texts have no words. Work happens in slices of whole documents of about
-:data:`SLICE_BYTES`; a longer document makes a slice of its own.
+:data:`SLICE_BYTES` and at most :data:`SLICE_ROWS` rows; a longer document makes a slice of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 8192
 
 WORD_SQL = r"[0-9A-Za-z\x{c0}-\x{1fff}\x{2070}-\x{2fff}\x{3040}-\x{10ffff}]+"
 
@@ -88,10 +89,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches, between rows, into pieces of about limit bytes of text; small ones are put together."""
+def slices(batches, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches, between rows, into pieces of about limit bytes of text and at most `rows` rows; small ones are put together."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,15 +103,16 @@ def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
             to = int(np.searchsorted(ends, base + limit - size, "right"))
             if to == at and held:
                 yield join_batches(held)
-                held, size = [], 0
+                held, size, count = [], 0, 0
                 continue
-            to = max(to, at + 1)
+            to = min(max(to, at + 1), at + rows - count)
             held.append(batch.slice(at, to - at))
             size += int(ends[to - 1] - base)
+            count += to - at
             base, at = int(ends[to - 1]), to
-            if size >= limit or at < batch.num_rows:
+            if size >= limit or count >= rows or at < batch.num_rows:
                 yield join_batches(held)
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield join_batches(held)
 

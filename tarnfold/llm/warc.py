@@ -1,7 +1,7 @@
 """WARC reading by verified boundary chains.
 
-1. Files are cut into ranges. A task finds every "WARC/1." at a line start in its range, reads the header that
-   follows, and emits a candidate edge: record offset -> offset of its successor (header, content, two line ends).
+1. Files are cut into ranges. A task finds every "WARC/" and version at a line start in its range, reads the header that
+   follows, however long it is, and emits a candidate edge: record offset -> offset of its successor (header, content, two line ends).
    Magic inside a payload yields candidates as well.
 2. For each file, pointer jumping from offset 0 marks what can be reached: the marked set is doubled along the
    pointers, which are squared in each round. All else was payload and goes.
@@ -10,8 +10,8 @@
 What is shuffled is 24 bytes a candidate, never content. A record may be longer than a range, and a header may cross from one range
 to the next.
 
-Defined results: only records whose header has at most HEADER_BYTES, whose Content-Length is a number and whose whole content lies in the file are part of a chain; a chain ends at the first
-that breaks these rules (a cut-off file yields the records before the cut). An empty file has no records. Files that repeat in the list of files are read
+Defined results: only records with a header's end, a Content-Length that is a number, and the whole content in the file are part of a chain; a chain ends at the first
+that breaks these rules (a cut-off file yields the records before the cut), and broken_files names that place and what the file has left. Records of any version are read. Compressed files have no chain, and are named as well. An empty file has no records. Files that repeat in the list of files are read
 once. Headers are matched without case, the first of each name counts; folded header lines are continuations. write_files gives null ids, urls and contents an absent header, and
 a content of 0 bytes; read again they are null, null and empty. Rows that repeat are written as often as they occur. Other columns are not written.
 """
@@ -33,7 +33,7 @@ from . import common
 RANGE_BYTES = 32 << 20
 HEADER_BYTES = 64 << 10
 BATCH_BYTES = 8 << 20
-_MAGIC = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+_MAGIC = re.compile(rb"(?:\A|(?<=\n))WARC/[0-9]{1,3}\.[0-9]{1,3}\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", re.I)
 
 
@@ -43,16 +43,23 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def candidates(data: bytes, base: int, limit: int, size: int) -> list[tuple[int, int]]:
-    """Edges from record starts in data[:limit]; data begins at offset base of a file of size bytes."""
+def candidates(data: bytes, base: int, limit: int, size: int, more=None) -> list[tuple[int, int]]:
+    """Edges from record starts in data[:limit]; data begins at offset base of a file of size bytes. more(offset, n) reads n bytes of it where a header goes on after data."""
     found = []
     for m in _MAGIC.finditer(data):
         at = m.start()
         if at >= limit:
             break
         # at the start of a range the line end before it is unseen; the chain decides
-        stop = data.find(b"\r\n\r\n", m.end() - 2, at + HEADER_BYTES)
-        length = _LENGTH.search(data, m.end() - 2, stop + 4) if stop >= 0 else None
+        head, read = data, len(data)
+        stop = data.find(b"\r\n\r\n", m.end() - 2)
+        step = HEADER_BYTES
+        while stop < 0 and more and base + read < size:
+            # payload that looks like a start can make this read on; what is read doubles, so that it costs twice its length
+            head += more(base + read, step)
+            stop = head.find(b"\r\n\r\n", max(m.end() - 2, read - 3))
+            read, step = len(head), 2 * step
+        length = _LENGTH.search(head, m.end() - 2, stop + 4) if stop >= 0 else None
         if length:
             after = base + stop + 4 + int(length[1])
             if after <= size:
@@ -99,7 +106,12 @@ def find_records(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTE
                     lead = min(start, 1)
                     f.seek(start - lead)
                     data = f.read(lead + range_bytes + HEADER_BYTES)
-                found = [x for x in candidates(data, start - lead, lead + range_bytes, size) if x[0] >= start]
+
+                    def more(at: int, n: int) -> bytes:
+                        f.seek(at)
+                        return f.read(n)
+
+                    found = [x for x in candidates(data, start - lead, lead + range_bytes, size, more) if x[0] >= start]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["path", "offset", "after"])
 
     def chain(table: pa.Table) -> pa.Table:
@@ -110,6 +122,13 @@ def find_records(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTE
     return edges.groupBy("path").applyInArrow(chain, "path string, offset bigint, after bigint")
 
 
+def broken_files(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, size, read_until): the files whose chain ends before the file does, as at a record that breaks a rule."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size")).distinct()
+    ends = find_records(spark, folder, range_bytes).groupBy("path").agg(F.max("after").alias("read_until"))
+    return files.join(ends, "path", "left").select("path", "size", F.coalesce("read_until", F.lit(0).cast("bigint")).alias("read_until")).where("read_until < size")
+
+
 def headers_of(head: bytes) -> dict[str, str]:
     found: dict[str, str] = {}
     name = ""

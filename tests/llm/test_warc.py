@@ -74,3 +74,15 @@ def test_round_trip_of_awkward_rows(spark, tmp_path):
 def test_headers():
     head = W.headers_of(b"WARC/1.0\r\nWARC-Type: a\r\nX: one\r\n two\r\nx: late\r\n more\r\nbad line")
     assert head == {"warc-type": "a", "x": "one two"}
+
+
+def test_long_headers_versions_and_broken_files(spark, tmp_path):
+    """A header of 300 KB that crosses ranges, an old and a new version; a file with a record that breaks a rule is named."""
+    long_ = b"WARC/1.0\r\nWARC-Type: resource\r\nX-Long: " + b"a" * 300_000 + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    old = b"WARC/0.18\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    new = b"WARC/2.0\r\nWARC-Type: resource\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(old + long_ + new)
+    (tmp_path / "b.warc").write_bytes(old + b"WARC/1.1\r\nContent-Length: x\r\n\r\n" + old)
+    got = sorted((r.path.rpartition("/")[2], r.offset, bytes(r.content)) for r in W.read_files(spark, str(tmp_path), range_bytes=1000).collect())
+    assert got == [("a.warc", 0, b"hi"), ("a.warc", len(old), b"abc"), ("a.warc", len(old + long_), b""), ("b.warc", 0, b"hi")]
+    assert [(r.path.rpartition("/")[2], r.read_until) for r in W.broken_files(spark, str(tmp_path)).collect()] == [("b.warc", len(old))]
