@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import workflow
 from .functions import expr
 from .operators import coverage, index, ledger, quality, routing
-from .sources import archives, files
+from .sources import api, archives, files
 from .sources.report_store import ReportStore
 
 
@@ -19,9 +19,10 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tarnfold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _show(df: DataFrame, n: int = 200) -> None:
-    for row in df.limit(n).toJSON().collect():
-        print(row)
+def _show(df: DataFrame) -> None:
+    """Every row, one partition at a time."""
+    for row in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        print(row["j"])
 
 
 def _wanted(spark: SparkSession, a) -> DataFrame:
@@ -69,6 +70,42 @@ def cmd_run_local(spark: SparkSession, a) -> int:
     return 0
 
 
+def cmd_init_db(spark: SparkSession, a) -> int:
+    """An empty store, so that readers find every table."""
+    store = ReportStore(spark, a.store)
+    for name in ("reports", "pages", "packets", "disclosures", "results"):
+        store.save(name, store.read(name))
+    return 0
+
+
+def cmd_run_cloud(spark: SparkSession, a) -> int:
+    pages = archives.documents(spark, a.documents)
+    state = workflow.run_cloud(pages, api.http_completer(a.url, a.token), a.model, f"{a.store}/answers", a.start, a.most)
+    ReportStore(spark, a.store).save_state(state, pages.select("report_id", "sha256").distinct())
+    return 0
+
+
+def cmd_refresh_models(spark: SparkSession, a) -> int:
+    print(api.refresh_models(api.http_fetch, a.url, a.models))
+    return 0
+
+
+def cmd_crawl(spark: SparkSession, a) -> int:
+    """Raw filings from the paginated API, as CSV for index."""
+    rows = api.filings_from_api(spark, api.http_fetch, a.base, a.country and a.country.split(","), a.pages)
+    files.write_csv(rows.drop("complete"), a.out)
+    return 0
+
+
+def cmd_download(spark: SparkSession, a) -> int:
+    """Packages that are wanted and not there yet; outcomes are appended to the ledger, and a second run goes on from it."""
+    todo = ledger.pending(_wanted(spark, a), files.inventory(spark, a.packages), "file")
+    outcomes = api.download(todo.repartition(a.workers or 4), api.http_fetch, api.folder_store(a.packages)).withColumn("seq", F.unix_micros(F.current_timestamp()))
+    columns = [F.col(c) if c in (*outcomes.columns, "status", "size_mb") else F.lit(None).cast(k).alias(c) for c, k in spark.createDataFrame([], files.schemas.LEDGER).dtypes]
+    files.append_ledger(ledger.entry(outcomes).select(*columns), a.ledger)
+    return int(files.write_failures(files.read_ledger(spark, a.ledger), f"{a.ledger}_failures"))
+
+
 def cmd_list_reports(spark: SparkSession, a) -> int:
     _show(ReportStore(spark, a.store).listing())
     return 0
@@ -115,7 +152,8 @@ def cmd_serve(spark: SparkSession, a) -> int:
 
 _ARGUMENTS = {
     "index": ("raw", "out", "--strict"), "plan": ("index", "packages", "--years", "--country", "--limit"), "verify": ("index", "packages", "out", "--years", "--country", "--limit"),
-    "inspect": ("documents",), "run-local": ("documents", "store"), "list-reports": ("store",), "report": ("store", "report"), "models": ("models",), "assessment": (),
+    "crawl": ("base", "out", "--country", "--pages"), "download": ("index", "packages", "ledger", "--years", "--country", "--limit", "--workers"), "init-db": ("store",),
+    "run-cloud": ("documents", "store", "url", "model", "--token", "--start", "--most"), "refresh-models": ("url", "models"), "inspect": ("documents",), "run-local": ("documents", "store"), "list-reports": ("store",), "report": ("store", "report"), "models": ("models",), "assessment": (),
     "select-model": ("models", "--task", "--text", "--vision", "--reasoning", "--fast"), "sql": ("query", "--table"), "serve": ("store", "--host", "--port"),
 }
 
@@ -126,7 +164,7 @@ def parser() -> argparse.ArgumentParser:
     for name, arguments in _ARGUMENTS.items():
         c = commands.add_parser(name)
         for x in arguments:
-            kind = {"--strict": {"action": "store_true"}, "--limit": {"type": int}, "--port": {"type": int, "default": 8765}, "--host": {"default": "127.0.0.1"}, "--table": {"action": "append", "default": []}}
+            kind = {"--strict": {"action": "store_true"}, "--limit": {"type": int}, "--pages": {"type": int}, "--workers": {"type": int}, "--start": {"type": int, "default": 0}, "--most": {"type": int, "default": 10}, "--port": {"type": int, "default": 8765}, "--host": {"default": "127.0.0.1"}, "--table": {"action": "append", "default": []}}
             c.add_argument(x, **kind.get(x, {}))
     return p
 

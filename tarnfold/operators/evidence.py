@@ -36,6 +36,24 @@ def packets(fragments_: DataFrame, report: str = "report_id", page: str = "page_
     )
 
 
+def with_context(packets_: DataFrame, pages: int = 1, report: str = "report_id", page: str = "page_index") -> DataFrame:
+    """packets with a column context: the fragments of up to `pages` pages before and after, in their order; an empty list where there are none."""
+    around = F.explode(F.array(*(F.col(page) + F.lit(i) for i in range(-pages, pages + 1) if i)))
+    near = packets_.select(report, around.alias(page), F.col("primary").alias("_items"), F.col(page).alias("_from"))
+    held = near.groupBy(report, page).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_items"))), lambda x: x["_items"])).alias("context"))
+    return packets_.join(held, [report, page], "left").withColumn("context", F.coalesce("context", F.filter("primary", lambda _: F.lit(False))))
+
+
+def all_items(primary: Column, context: Column) -> Column:
+    """What a request shows and may be cited from: primary evidence, then context."""
+    return F.concat(primary, F.coalesce(context, F.filter(primary, lambda _: F.lit(False))))
+
+
+def cases(fragments_: DataFrame, report: str = "report_id", page: str = "page_index") -> DataFrame:
+    """For each report the number of packets, fragments and kinds of fragments that a trial of models has."""
+    return fragments_.groupBy(report).agg(F.count_distinct(page).alias("packets"), F.count("*").alias("fragments"), F.count_distinct("kind").alias("kinds"))
+
+
 def packet_text(primary: Column) -> Column:
     """The fragments' texts, one on a line."""
     return F.array_join(F.transform(primary, lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
@@ -62,15 +80,26 @@ def slice_packets(packets_: DataFrame, start: int = 0, most: int = 10, report: s
 
 def recall(packets_: DataFrame, keywords: list[str], text: Column | None = None) -> DataFrame:
     """Packets whose text holds any of the keywords, without regard to case."""
+    keywords = [k for k in keywords if k and k.strip()]
     low = F.lower(packet_text(F.col("primary")) if text is None else text)
     return packets_.where(expr.let(low, lambda t: F.exists(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(t, k))) if keywords else F.lit(False))
 
 
 def recall_by_table(rows: DataFrame, keywords: DataFrame, text: str = "text", keyword: str = "keyword") -> DataFrame:
-    """The same for keywords in a table: they are gathered into one small row first, so that texts never move."""
-    held = keywords.agg(F.collect_set(F.lower(keyword)).alias("_keywords"))
-    hit = expr.let(F.lower(text), lambda t: F.exists("_keywords", lambda k: F.contains(t, k)))
-    return rows.crossJoin(F.broadcast(held)).where(hit).drop("_keywords")
+    """The same for keywords in a table, which may be large. Blank keywords recall nothing.
+
+    A keyword is looked up by its longest inner word (one with a sign that isn't a letter or digit on both sides, so that it's a whole word of any text that holds the keyword);
+    rows meet only keywords of which they hold that word. Keywords without an inner word are tried on every row, as a table that Spark broadcasts if it is small.
+    """
+    low = keywords.select(F.lower(keyword).alias("_k")).where(expr.stripped(F.col("_k")) != "").distinct()
+    inner = F.regexp_extract_all("_k", F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), 0)
+    probed = low.withColumn("_word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keyed = rows.withColumn("_key", F.xxhash64(text))
+    words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("_word"))
+    maybe = words.join(probed.where("_word IS NOT NULL"), "_word").select("_key", "_k")
+    bare = probed.where("_word IS NULL").select("_k")
+    maybe = maybe.unionByName(keyed.join(bare, F.contains(F.lower(text), F.col("_k"))).select("_key", "_k")).distinct().withColumnRenamed("_key", "_of")
+    return keyed.join(maybe, (F.col("_key") == F.col("_of")) & F.contains(F.lower(text), F.col("_k")), "left_semi").drop("_key")
 
 
 def supported(evidence_ids: Column, packet_ids: Column) -> Column:

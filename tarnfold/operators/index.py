@@ -61,10 +61,11 @@ def _newest(id_col: str) -> list[Column]:
 
 def dedup_content(filings: DataFrame, strict: bool = False, id_col: str = "api_id", sha_col: str = "sha256") -> DataFrame:
     """The newest filing of each content hash. Filings without a hash all stay, unless strict: then they are one group."""
-    w = Window.partitionBy(sha_col).orderBy(*_newest(id_col))
-    ranked = filings.withColumn(sha_col, expr.hash_of(F.col(sha_col))).withColumn("_rank", F.row_number().over(w))
-    keep = F.col("_rank") == 1
-    return ranked.where(keep if strict else keep | (F.col(sha_col) == "")).drop("_rank")
+    hashed = filings.withColumn(sha_col, expr.hash_of(F.col(sha_col)))
+    # hashless filings never meet in one group: each is spread by its own id
+    alone = F.when((F.col(sha_col) == "") & F.lit(not strict), F.monotonically_increasing_id())
+    w = Window.partitionBy(sha_col, "_alone").orderBy(*_newest(id_col))
+    return hashed.withColumn("_alone", alone).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_alone")
 
 
 def dedup_restatement(filings: DataFrame, id_col: str = "api_id") -> DataFrame:
@@ -100,8 +101,10 @@ def surrogate_ids(filings: DataFrame, to: str = "report_id", tie: str = "api_id"
 
 
 def primary_index(filings: DataFrame, strict: bool = False) -> DataFrame:
-    """Content dedup, restatement dedup with counts before and after, ids."""
-    counted = filings.withColumn("n_raw", F.count("*").over(Window.partitionBy("lei", "period_end")))
+    """Content dedup, restatement dedup with counts before and after, ids. n_raw is 1 for filings that lack an entity or a period, as each is a group of its own."""
+    known = expr.blank_to_null(F.col("lei")).isNotNull() & expr.blank_to_null(F.col("period_end")).isNotNull()
+    alone = F.when(~known, F.monotonically_increasing_id())
+    counted = filings.withColumn("_alone", alone).withColumn("n_raw", F.count("*").over(Window.partitionBy("lei", "period_end", "_alone"))).drop("_alone")
     return surrogate_ids(dedup_restatement(dedup_content(counted, strict)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import workflow
 from .operators import routing
-from .sources import archives
+from .sources import api, archives
 from .sources.report_store import ReportStore
 
 
@@ -25,7 +25,7 @@ def answer(spark: SparkSession, store: ReportStore, method: str, path: str, body
     parts = [p for p in path.partition("?")[0].split("/") if p]
     if method == "GET":
         if parts in ([], ["api"]):
-            return 200, {"steps": workflow.steps(), "paths": ["/api/reports", "/api/reports/ID", "/api/model-assessment", "/api/run-local"]}
+            return 200, {"steps": workflow.steps(), "paths": ["/api/reports", "/api/reports/ID", "/api/model-assessment", "/api/run-local", "/api/run-cloud", "/api/refresh-models"]}
         if parts == ["api", "model-assessment"]:
             return 200, _rows(routing.assessment(spark))
         if parts == ["api", "reports"]:
@@ -33,6 +33,16 @@ def answer(spark: SparkSession, store: ReportStore, method: str, path: str, body
         if parts[:2] == ["api", "reports"] and len(parts) == 3:
             found = _rows(store.detail(parts[2]))
             return (200, found[0]) if found else (404, {"error": "no such report"})
+    if method == "POST" and parts in (["api", "run-cloud"], ["api", "refresh-models"]):
+        try:
+            if parts[1] == "refresh-models":
+                return 200, {"models": api.refresh_models(api.http_fetch, body["url"], body["path"])}
+            pages = archives.documents(spark, body["path"])
+            state = workflow.run_cloud(pages, api.http_completer(body["url"], body.get("token")), body["model"], f"{store.root}/answers", int(body.get("start", 0)), int(body.get("most", 10)))
+            store.save_state(state, pages.select("report_id", "sha256").distinct())
+            return 200, {"status": state.status, "steps": workflow.steps(completed=True, api_completed=True), "disclosures": state.disclosures.count()}
+        except Exception as e:  # noqa: BLE001
+            return 400, {"error": str(e)[:500]}
     if method == "POST" and parts == ["api", "run-local"]:
         try:
             pages = archives.documents(spark, body["path"])

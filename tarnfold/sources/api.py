@@ -24,6 +24,51 @@ PAGE = (
 Fetch = Callable[[str], tuple[int, dict, bytes]]
 
 
+def http_fetch(url: str) -> tuple[int, dict, bytes]:
+    """A Fetch over HTTP, by the standard library."""
+    from urllib import error, request
+
+    try:
+        with request.urlopen(url, timeout=90) as r:  # noqa: S310 - the caller's URL
+            return r.status, dict(r.headers), r.read()
+    except error.HTTPError as e:
+        return e.code, dict(e.headers), e.read()
+    except error.URLError as e:
+        raise OSError(f"{url}: {e.reason}") from e
+
+
+def http_completer(url: str, token: str | None = None) -> Callable[[str, str], str]:
+    """completer(model, prompt) for a chat service: the answer's body as it came."""
+
+    def complete(model: str, prompt: str) -> str:
+        from urllib import request
+
+        body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        with request.urlopen(request.Request(url, body, head), timeout=120) as r:  # noqa: S310
+            return r.read().decode()
+
+    return complete
+
+
+def folder_store(folder: str) -> Callable[[str, bytes], None]:
+    """store(name, body) that shows a file only when it is complete."""
+
+    def store(name: str, body: bytes) -> None:
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        system, inner = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        part = f"{inner.rstrip('/')}/.{name}.{uuid.uuid4().hex}.part"
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(part) as out:
+            out.write(body)
+        system.move(part, f"{inner.rstrip('/')}/{name}")
+
+    return store
+
+
 def fetch_again(fetch: Fetch, url: str, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> bytes:
     """The body, after as many tries as it takes: only statuses that may pass are tried again; Retry-After is honoured."""
     for k in range(retries):

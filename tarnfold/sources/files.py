@@ -30,7 +30,10 @@ def write_table(df: DataFrame, path: str, partition: tuple[str, ...] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header, and the UTF-8 mark that spreadsheets want in front of it; read_index reads it either way."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 

@@ -39,7 +39,9 @@ class ReportStore:
 
     def save_state(self, state, sources: DataFrame | None = None) -> None:
         """Everything that a workflow run has made. sources: report_id, artifact_path, sha256."""
-        counted = state.pages.groupBy("report_id").agg(F.count("*").cast("int").alias("page_count"), F.current_timestamp().alias("created_at"))
+        page = F.struct(*(c for c in ("page_index", "width", "height", "quality_flags") if c in state.pages.columns))
+        document = F.to_json(F.struct("report_id", F.array_sort(F.collect_list(page)).alias("pages")))
+        counted = state.pages.groupBy("report_id").agg(F.count("*").cast("int").alias("page_count"), F.current_timestamp().alias("created_at"), document.alias("document_json"))
         self.save("reports", counted if sources is None else counted.join(sources, "report_id", "left"))
         self.save("pages", state.pages)
         for name in ("packets", "results", "disclosures"):

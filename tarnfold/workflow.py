@@ -40,10 +40,10 @@ def steps(completed: bool = False, api_completed: bool = False) -> list[dict[str
     return [{"step": s, "mode": m, "status": {"api": paid, "local": local}[m]} for s, m in STEPS]
 
 
-def prepare(pages: DataFrame) -> State:
-    """pages: report_id, page_index, native_text. Pages without text give no packet."""
+def prepare(pages: DataFrame, context_pages: int = 0) -> State:
+    """pages: report_id, page_index, native_text. Pages without text give no packet; context_pages on either side are shown with a packet."""
     blocks = evidence.fragments(evidence.blocks(pages))
-    return State("local_evidence_prepared", pages, evidence.packets(blocks))
+    return State("local_evidence_prepared", pages, evidence.with_context(evidence.packets(blocks), context_pages) if context_pages else evidence.packets(blocks))
 
 
 def run_local(pages: DataFrame) -> State:
@@ -57,9 +57,10 @@ def run_local(pages: DataFrame) -> State:
 def tasks(packets: DataFrame, model_id: str, start: int = 0, most: int = 10) -> DataFrame:
     """Requests for the packets from start on, at most `most` of each report: cut before anything costly."""
     cut = evidence.slice_packets(packets, start, most)
+    items = evidence.all_items(F.col("primary"), F.col("context")) if "context" in packets.columns else F.col("primary")
     return cut.select(
         expr.stable_id("task", F.col("packet_id"), F.lit(model_id)).alias("request_id"), "report_id", F.lit(model_id).alias("model_id"), F.lit("structured_extract").alias("task_type"),
-        F.concat(F.lit(INSTRUCTION), evidence.packet_prompt(F.col("primary"))).alias("prompt"), evidence.packet_refs(F.col("primary")).alias("input_refs"),
+        F.concat(F.lit(INSTRUCTION), evidence.packet_prompt(items)).alias("prompt"), evidence.packet_refs(items).alias("input_refs"),
     )
 
 
