@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return
 the columns of documents; the last one returns windows of document pieces.
+
+Defined results, stage by stage. Null, empty and wordless texts: language ID rejects them, so no later stage sees them in run(); given to a later stage by itself, exact dedup keeps null
+texts and one of the empty ones, the Jaccard join and decontamination keep all, and packing places them as pieces of 0 words. Long texts are taken whole everywhere. Ties: the alphabetically
+first language, the smallest id of copies and of near copies; a null id comes after all others among exact copies, and is never judged by the Jaccard join. Rows that repeat, id and all, are
+exact copies, of which one stays; rows that share an id with other texts are judged one by one, but the Jaccard join drops or keeps the rows of a partition under one id together. Empty tables pass
+through as empty. Further columns, of any name, are passed on by the first four stages and ignored by packing.
 """
 
 from __future__ import annotations
