@@ -11,7 +11,7 @@ All of it is built-in expressions within a row: one scan, no shuffle, no Python.
 
 Defined results: null html gives null text and 0 lines; html without text, or without a surge, gives empty text. Repeated rows and null ids are kept as they are.
 Lines are compared by length alone, so ties need no rule. Pages are taken whole, of any length. Other columns are passed on
-by add_main_text, which refuses a name that is taken.
+by add_main_text; where the name of its own column is taken, in any case, underscores come before it.
 """
 
 from __future__ import annotations
@@ -78,13 +78,11 @@ def _let(value: Column, body) -> Column:
 
 
 def add_main_text(pages: DataFrame, html_col: str = "html", to: str = "main_text", window: int = WINDOW, surge_chars: int = SURGE_CHARS, lone_chars: int = LONE_CHARS) -> DataFrame:
-    """pages with column `to`."""
+    """pages with column `to`, under a free name."""
     common.need(pages, html_col)
-    names = pages.columns
-    if to.lower() in (c.lower() for c in pages.columns):
-        raise ValueError(f"column {to} is there already")
+    names, to = pages.columns, common.free_name(pages, to)
     pages, html_col = common.numbered(pages, html_col)
-    return pages.withColumn(to, main_text(F.col(html_col), window, surge_chars, lone_chars)[0]).toDF(*names, to)
+    return pages.select("*", main_text(F.col(html_col), window, surge_chars, lone_chars)[0].alias("kept")).toDF(*names, to)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", window: int = WINDOW, surge_chars: int = SURGE_CHARS, lone_chars: int = LONE_CHARS) -> DataFrame:

@@ -46,4 +46,6 @@ def test_added_column_and_empty(spark):
     df = frame(spark)
     out = H.add_main_text(df)
     assert out.columns == [*df.columns, "main_text"] and out.count() == len(PAGES)
+    assert H.add_main_text(df, to="URL").columns == [*df.columns, "_URL"]
+    assert H.add_main_text(df, to="c0").columns == [*df.columns, "c0"]
     assert H.extract(frame(spark, [])).count() == 0
