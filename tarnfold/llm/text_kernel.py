@@ -15,6 +15,7 @@ Null texts have no words. Work happens in slices of whole documents of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ SLICE_ROWS = 8192
 
 WORD_SQL = r"[0-9A-Za-z\x{c0}-\x{1fff}\x{2070}-\x{2fff}\x{3040}-\x{10ffff}]+"
 
+#: glibc's malloc_trim, where there is one
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 _P_INV = _U(pow(int(_P), -1, 1 << 64))
@@ -91,6 +94,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut batches, between rows, into pieces of about limit bytes of text and at most `rows` rows; small ones are put together."""
+    release()
     held: list[pa.RecordBatch] = []
     size = count = 0
     for batch in batches:
@@ -115,6 +119,15 @@ def slices(batches, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROW
                 held, size, count = [], 0, 0
     if held:
         yield join_batches(held)
+    del held
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers are used again by later stages, and would hold on to the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def join_batches(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
