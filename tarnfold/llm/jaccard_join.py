@@ -8,6 +8,8 @@
    Nodes that no split makes smaller are compared in pairs of blocks.
 3. Runs come in batches. From the pairs found once and twice the number of missed ones is estimated, and the same for classes by the best pair of
    each; batches are added until both meet the target recall, however many it takes, as every run finds some of what is missed.
+   Where only connected groups are wanted (keep_one), runs of their own come first: in large nodes, sets that resemble a pivot are linked to it, and these links are verified. Pairs within a
+   group that is connected thereby are not looked for: they could change no group, and there are as many as the square of its size. All pairs across groups are.
 4. Candidates are pairs whose MinHashes agree in at least as many positions as the threshold asks less three standard deviations (20 of 64 at 0.5; a pair that lies
    exactly at the threshold falls below with a chance of 0.1 %, one at 0.55 of 0.003 %). Their gram sets are read in a second scan, cut into the same partitions (common.pin_scans),
    each sent once to its group of candidates, and compared exactly: precision is 1.
@@ -41,6 +43,9 @@ RUNS = 3
 TARGET_RECALL = 0.98
 NODE_LIMIT = 50_000
 BLOCK = 1_000
+PIECE = 1 << 18
+PIECE_BYTES = 1 << 24
+STAR_RUN = 1 << 20
 SPLITS = 5
 SEED = 20240711
 _U = np.uint64
@@ -108,7 +113,7 @@ def _sets(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _classes(docs: DataFrame, ngram: int) -> tuple[DataFrame, DataFrame]:
-    """(one row for each distinct id and gram set: cid, doc_id, part; one for each gram set: cid, its smallest member, the number of members, the MinHash).
+    """(one row for each distinct id and gram set: cid, doc_id, part; one for each gram set: cid, its smallest member, the number of members, the MinHash, a group of its own).
 
     Members are rows and never lists, so that a class may hold any share of the documents; classes are aggregated before they are shuffled.
     """
@@ -117,7 +122,7 @@ def _classes(docs: DataFrame, ngram: int) -> tuple[DataFrame, DataFrame]:
     members = rows.select("cid", "doc_id", "part").distinct()
     counted = members.groupBy("cid").agg(F.count_distinct("doc_id").alias("n"))
     grouped = rows.groupBy("cid", "check").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.min("sig").alias("sig"))
-    return members, common.written(grouped.drop("check").join(counted, "cid"), "jaccard-classes")
+    return members, common.written(grouped.drop("check").join(counted, "cid").withColumn("group", F.col("cid")), "jaccard-classes")
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -144,7 +149,7 @@ def _first_level(runs: range):
                 chosen = [_positions(root, k)[0] for k in (0, 1)]
                 for c in chosen:
                     node = _key(root, np.array([c]), sig[:, c])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), r, np.int32)), pa.array(node.view(np.int64)), b.column("cid"), _binary(low)], names=["run", "node", "cid", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), r, np.int32)), pa.array(node.view(np.int64)), b.column("cid"), b.column("group"), _binary(low)], names=["run", "node", "cid", "group", "sig"])
 
     return run
 
@@ -156,33 +161,33 @@ def _next_level(batches):
         for k in (0, 1):
             c = _positions(node, k)
             child = _key(node, c, sig[np.arange(len(sig)), c])
-            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(child.view(np.int64)), b.column("cid"), b.column("sig")], names=["run", "node", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(child.view(np.int64)), b.column("cid"), b.column("group"), b.column("sig")], names=["run", "node", "cid", "group", "sig"])
 
 
-_LEVEL = "run int, node bigint, cid bigint, sig binary"
+_LEVEL = "run int, node bigint, cid bigint, group bigint, sig binary"
 
 
 def _nodes(classes: DataFrame, runs: range, node_limit: int) -> DataFrame:
-    """Rows (run, node, cid, sig) such that each node fits into one task."""
-    level = classes.select("cid", "sig").mapInArrow(_first_level(runs), _LEVEL)
+    """Rows (run, node, cid, group, sig) such that each node fits into one task."""
+    level = classes.select("cid", "group", "sig").mapInArrow(_first_level(runs), _LEVEL)
     done = []
     for depth in range(SPLITS + 1):
         big = level.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node_limit)
         big = common.written(big, "jaccard-big-nodes")
         if big.isEmpty():
             break
-        done.append(level.join(big, "node", "left_anti").select("run", "node", "cid", "sig"))
+        done.append(level.join(big, "node", "left_anti").select("run", "node", "cid", "group", "sig"))
         inside = level.join(big, "node")
         if depth < SPLITS:
-            level = common.written(inside.select("run", "node", "cid", "sig").mapInArrow(_next_level, _LEVEL).distinct(), "jaccard-level")
+            level = common.written(inside.select("run", "node", "cid", "group", "sig").mapInArrow(_next_level, _LEVEL).distinct(), "jaccard-level")
             continue
         # what no choice of positions has made smaller: pairs of blocks, each of which fits
         blocks = F.ceil(2 * F.col("n") / node_limit).cast("int")
         own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        level = inside.select("run", "node", "cid", "sig", own.alias("own"), other.alias("other"))
+        level = inside.select("run", "node", "cid", "group", "sig", own.alias("own"), other.alias("other"))
         pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-        level = level.select("run", pair.alias("node"), "cid", "sig").distinct()
+        level = level.select("run", pair.alias("node"), "cid", "group", "sig").distinct()
     for x in done:
         level = level.unionByName(x)
     return level
@@ -195,14 +200,31 @@ def _agree(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare_nodes(node: np.ndarray, sig: np.ndarray, least: int, threshold: float, leaf: int = LEAF, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of rows of one node, found by going down its tree, that agree in at least `least` positions.
+def _resemblance(values: np.ndarray) -> np.ndarray:
+    """In what share of positions each row agrees with the others, on average."""
+    mean = np.zeros(len(values))
+    for c in range(POSITIONS):
+        mean += np.bincount(values[:, c], minlength=256)[values[:, c]] - 1
+    return mean / (POSITIONS * max(len(values) - 1, 1))
 
-    node is sorted; only rows of equal node are compared.
-    """
+
+def node_pairs(node: np.ndarray, sig: np.ndarray, least: int, threshold: float, leaf: int = LEAF, slack: float = SLACK, group: np.ndarray | None = None):
+    """Pieces (i, j) of what compare_nodes finds, each of about PIECE pairs at most, so that memory doesn't grow with the pairs of a node; a pair may be in several pieces."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def pieces(most: int):
+        if sum(len(i) for i, _ in found) > most:
+            i, j = np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+            found.clear()
+            low, high = np.minimum(i, j), np.maximum(i, j)
+            key = np.unique((low * len(sig) + high)[low != high])
+            for x in range(0, len(key), PIECE):
+                yield key[x : x + PIECE] // len(sig), key[x : x + PIECE] % len(sig)
+
     def keep(i: np.ndarray, j: np.ndarray) -> None:
+        if group is not None:
+            apart = group[i] != group[j]
+            i, j = i[apart], j[apart]
         ok = _agree(sig, i, j) >= least
         if ok.any():
             found.append((i[ok], j[ok]))
@@ -220,21 +242,23 @@ def compare_nodes(node: np.ndarray, sig: np.ndarray, least: int, threshold: floa
                 if not len(at):
                     break
                 keep(r[at], r[at + d])
+                yield from pieces(PIECE)
         left_rows, left_node = [], []
         for s, m in zip(start[size > leaf].tolist(), size[size > leaf].tolist()):
             own = rows[s : s + m]
+            of = None if group is None else group[own]
+            if of is not None and (of == of[0]).all():
+                continue
             values = sig[own]
-            mean = np.zeros(m)
-            for c in range(POSITIONS):
-                mean += np.bincount(values[:, c], minlength=256)[values[:, c]] - 1
-            mean /= POSITIONS * (m - 1)
-            central = (mean >= (1 - slack) * threshold) | (depth >= 24)
+            central = (_resemblance(values) >= (1 - slack) * threshold) | (depth >= 24)
             for k in np.flatnonzero(central).tolist():
                 # a central row against the others; of two central ones, the later looks
-                rest = np.flatnonzero(~central | (np.arange(m) < k))
+                rest = ~central | (np.arange(m) < k)
+                rest = np.flatnonzero(rest if of is None else rest & (of != of[k]))
                 hit = rest[(values[rest] == values[k]).sum(axis=1) >= least]
                 if len(hit):
                     found.append((np.full(len(hit), own[k]), own[hit]))
+                    yield from pieces(PIECE)
             if not central.all():
                 left_rows.append(own[~central])
                 left_node.append(np.full(int((~central).sum()), node[s]))
@@ -249,31 +273,59 @@ def compare_nodes(node: np.ndarray, sig: np.ndarray, least: int, threshold: floa
         o = np.argsort(node, kind="stable")
         rows, node = rows[o], node[o]
         depth += 1
+    yield from pieces(0)
+
+
+def compare_nodes(node: np.ndarray, sig: np.ndarray, least: int, threshold: float, leaf: int = LEAF, slack: float = SLACK, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) of rows of one node, found by going down its tree, that agree in at least `least` positions and are of different groups, if these are given.
+
+    node is sorted; only rows of equal node are compared.
+    """
+    found = list(node_pairs(node, sig, least, threshold, leaf, slack, group))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-    low, high = np.minimum(i, j), np.maximum(i, j)
-    pairs = np.unique(np.column_stack([low, high])[low != high], axis=0)
+    pairs = np.unique(np.column_stack([np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])]), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _compare(threshold: float, least: int):
+def star_pairs(node: np.ndarray, sig: np.ndarray, least: int, threshold: float, leaf: int = LEAF, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (pivot, other) in nodes of more than leaf rows: rows that resemble the whole node are pivots in turn, and those that agree with one leave with it. Fewer pairs than rows."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    size = np.diff(np.append(start, len(node)))
+    for s, m in zip(start[size > leaf].tolist(), size[size > leaf].tolist()):
+        values = sig[s : s + m]
+        central = _resemblance(values) >= (1 - slack) * threshold
+        left = np.ones(m, bool)
+        while (left & central).any():
+            k = int(np.argmax(left & central))
+            left[k] = False
+            rest = np.flatnonzero(left)
+            hit = rest[(values[rest] == values[k]).sum(axis=1) >= least]
+            left[hit] = False
+            found.append((np.full(len(hit), s + k), s + hit))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _compare(threshold: float, least: int, stars: bool = False):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table):
             node = table.column("node").to_numpy()
-            run_, cid = table.column("run").to_numpy(), table.column("cid").to_numpy()
+            run_, cid, group = (table.column(x).to_numpy() for x in ("run", "cid", "group"))
             again = np.append(False, node[1:] == node[:-1])
             shared = again | np.append(again[1:], False)
             if not shared.any():
-                return None
+                return
             sig = _matrix(table.column("sig").filter(pa.array(shared)), np.uint8, POSITIONS)
-            node, run_, cid = node[shared], run_[shared], cid[shared]
-            i, j = compare_nodes(node.view(_U), sig, least, threshold)
-            a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-            pairs = np.unique(np.column_stack([a, b, run_[i], _agree(sig, i, j)])[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3].astype(np.int32))], names=["a", "b", "run", "agree"])
+            node, run_, cid, group = node[shared], run_[shared], cid[shared], group[shared]
+            for i, j in [star_pairs(node.view(_U), sig, least, threshold)] if stars else node_pairs(node.view(_U), sig, least, threshold, group=group):
+                a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+                pairs = np.unique(np.column_stack([a, b, run_[i], _agree(sig, i, j)])[a != b], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3].astype(np.int32))], names=["a", "b", "run", "agree"])
 
         for b in batches:
             if not b.num_rows:
@@ -285,12 +337,10 @@ def _compare(threshold: float, least: int):
                 continue
             # the last node may go on in the next batch
             cut = int(np.searchsorted(nodes.to_numpy(), last.as_py()))
-            out = done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+            yield from done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
             held = [b.slice(cut)]
-            if out is not None:
-                yield out
-        if held and (out := done(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -300,18 +350,19 @@ def _missed(counts, total: int) -> float:
     return (total - 1) / total * counts["once"] * max(counts["once"] - 1, 0) / (2 * (counts["twice"] + 1))
 
 
+def _compared(classes: DataFrame, runs: range, node_limit: int, threshold: float, least: int, stars: bool = False) -> DataFrame:
+    sorted_ = _nodes(classes, runs, node_limit).repartition(max(1, common.shuffle_width(classes.sparkSession)), "node").sortWithinPartitions("node")
+    return sorted_.mapInArrow(_compare(threshold, max(1, least), stars), "a bigint, b bigint, run int, agree int")
+
+
 def _candidates(classes: DataFrame, threshold: float, target_recall: float, runs: int, node_limit: int) -> DataFrame:
-    """Distinct pairs (a, b) of class ids, a < b; written."""
-    spark = classes.sparkSession
+    """Distinct pairs (a, b) of class ids of different groups, a < b; written."""
     least = int(np.floor(POSITIONS * (threshold - 3 * np.sqrt(threshold * (1 - threshold) / POSITIONS))))
     batches: list[DataFrame] = []
     tally = [F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")]
     while True:
         k = len(batches)
-        nodes = _nodes(classes, range(k * runs, (k + 1) * runs), node_limit)
-        sorted_ = nodes.repartition(max(1, common.shuffle_width(spark)), "node").sortWithinPartitions("node")
-        pairs = sorted_.mapInArrow(_compare(threshold, max(1, least)), "a bigint, b bigint, run int, agree int")
-        batches.append(common.written(pairs, "jaccard-pairs"))
+        batches.append(common.written(_compared(classes, range(k * runs, (k + 1) * runs), node_limit, threshold, least), "jaccard-pairs"))
         union = batches[0]
         for x in batches[1:]:
             union = union.unionByName(x)
@@ -363,6 +414,9 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram:
     where = common.written_by_part(lists, "jaccard-wanted")
     listed = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
+    def sets_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "a", "grams"])
+
     def read(batches):
         known = None
         for piece in slices(batches, "text"):
@@ -381,14 +435,21 @@ def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, ngram:
             distinct, at = _sets(grams, first)
             some = np.flatnonzero(np.diff(at) > 0)
             prints = dict(zip(some.tolist(), _prints(distinct, at[some], 0x51ED270B).view(np.int64).tolist()))
-            rows = []
+            rows, size = [], 0
             for k, i in enumerate(mine):
                 for c, keys in known[ids[i]]:
                     # rows that share an id may differ in text
-                    if prints.get(k) == c:
-                        rows += [(key, c, distinct[at[k] : at[k + 1]].tobytes()) for key in keys]
+                    if prints.get(k) != c:
+                        continue
+                    own = distinct[at[k] : at[k + 1]].tobytes()
+                    for key in keys:
+                        rows.append((key, c, own))
+                        size += len(own)
+                        if size > PIECE_BYTES:
+                            yield sets_of(rows)
+                            rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "a", "grams"])
+                yield sets_of(rows)
 
     def compare(batches):
         key, held = None, {}
@@ -422,15 +483,30 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit):
-    """(docs as they are scanned, members, classes, verified pairs of classes)."""
+def _in_groups(docs: DataFrame, classes: DataFrame, ngram: int, threshold: float, runs: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(classes with groups that verified links connect, these links if there are any)."""
+    found = _compared(classes, range(STAR_RUN, STAR_RUN + runs), node_limit, threshold, int(np.ceil(POSITIONS * threshold)), stars=True)
+    stars = common.written(found.select("a", "b").distinct(), "jaccard-stars")
+    if stars.isEmpty():
+        return classes, None
+    links = _verified(docs, classes, stars, ngram, threshold)
+    placed = classes.drop("group").join(components(links).select(F.col("node").alias("cid"), F.col("root").alias("group")), "cid", "left")
+    return common.written(placed.withColumn("group", F.coalesce("group", "cid")), "jaccard-grouped"), links
+
+
+def _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit, groups_only=False):
+    """(members, classes, verified pairs of classes); if only connected groups are wanted, enough pairs to connect them."""
     docs, id_col, text_col = common.numbered(docs, id_col, text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common.pin_scans(docs.sparkSession)
     if not common.is_plain_scan(narrow):
         narrow = common.written(narrow, "jaccard-input")
     members, classes = _classes(narrow, ngram)
-    return members, classes, _verified(narrow, classes, _candidates(classes, threshold, target_recall, runs, node_limit), ngram, threshold)
+    links = None
+    if groups_only:
+        classes, links = _in_groups(narrow, classes, ngram, threshold, runs, node_limit)
+    pairs = _verified(narrow, classes, _candidates(classes, threshold, target_recall, runs, node_limit), ngram, threshold)
+    return members, classes, links.unionByName(pairs) if links else pairs
 
 
 def _grouped(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -503,7 +579,7 @@ def keep_one(
     common.pin_scans(spark)
     if not common.is_plain_scan(docs):
         docs = common.written(docs, "jaccard-input")
-    members, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit)
+    members, classes, pairs = _join(docs, id_col, text_col, ngram, threshold, target_recall, runs, node_limit, groups_only=True)
     losers = members.join(_grouped(classes, pairs).select("cid", "class_id"), "cid").where("doc_id <> class_id").select("doc_id", "part").distinct()
     where = common.written_by_part(losers, "jaccard-losers")
     at = docs.columns.index(id_col)

@@ -176,3 +176,61 @@ def test_cores_that_change_between_the_scans(spark, tmp_path):
         spark.conf.unset(pinned)
         if before is not None:
             spark.conf.set(pinned, before)
+
+
+def alike(n, share, seed):
+    """n signatures that keep about `share` of the positions of one."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 256, J.POSITIONS)
+    return np.where(r.random((n, J.POSITIONS)) < share, base, r.integers(0, 256, (n, J.POSITIONS))).astype(np.uint8)
+
+
+def test_a_large_group_comes_in_pieces(monkeypatch):
+    """However many pairs a node has, no piece holds more than PIECE, and none of them is lost."""
+    monkeypatch.setattr(J, "PIECE", 5000)
+    sig = np.concatenate([alike(700, 0.9, 1), alike(30, 0.9, 2)])
+    n = len(sig)
+    cid, node = np.random.default_rng(3).permutation(n), np.repeat([5, 9], [700, 30])
+    table = pa.record_batch({"run": pa.array(np.zeros(n, np.int32)), "node": node, "cid": cid, "group": cid, "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+    out = list(J._compare(0.5, 20)([table]))
+    assert max(b.num_rows for b in out) <= 5000 < sum(b.num_rows for b in out)
+    got = {(a, b) for t in out for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
+    agree = (sig[:, None] == sig[None]).sum(axis=2) >= 20
+    i, j = np.nonzero(np.triu(agree & (node[:, None] == node[None]), 1))
+    assert got == {(int(min(cid[x], cid[y])), int(max(cid[x], cid[y]))) for x, y in zip(i, j)}
+
+
+def test_pairs_across_groups_only():
+    """Rows of one group are not paired, all others are; a star has fewer pairs than rows, and links most rows that are alike."""
+    sig = alike(300, 0.9, 4)
+    node, group = np.zeros(300, np.uint64), np.arange(300) // 290 * np.arange(300)
+    a, b = J.compare_nodes(node, sig, 20, 0.5, group=group)
+    i, j = np.nonzero(np.triu(((sig[:, None] == sig[None]).sum(axis=2) >= 20) & (group[:, None] != group[None]), 1))
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(i.tolist(), j.tolist()))
+    a, b = J.star_pairs(node, sig, 32, 0.5)
+    assert 290 <= len(set(b.tolist())) == len(b) < 300 and not set(a.tolist()) & set(b.tolist())
+
+
+def test_keep_one_looks_at_few_pairs_of_a_large_group(spark, monkeypatch):
+    """300 near copies and a chain that leads out of them: one is kept of all, without the 44,850 pairs of the copies."""
+    base = awkward.prose(1, 120).split()
+    texts = []
+    for i in range(300):
+        w = list(base)
+        w[i % 120] = f"x{i}"
+        texts.append(" ".join(w))
+    # a bridge shares half with a copy and half with one text further on
+    tail = [f"y{i}" for i in range(60)]
+    texts += [" ".join(base[25:] + tail[:30]), " ".join(base[60:] + tail), awkward.prose(7, 80)]
+    data = [awkward.row(i, t) for i, t in enumerate(texts)]
+    looked = []
+    whole = J._verified
+    monkeypatch.setattr(J, "_verified", lambda d, c, candidates, *rest: (looked.append(candidates.count()), whole(d, c, candidates, *rest))[1])
+    kept = {r.doc_id for r in J.keep_one(awkward.frame(spark, data)).collect()}
+    links = brute(data, 0.5)
+    root = list(range(len(data)))
+    for _ in data:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert kept == {i for i, r in enumerate(root) if i == r} and len(kept) < 4
+    assert sum(looked) < 10 * len(data)
