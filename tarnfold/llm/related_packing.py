@@ -5,7 +5,7 @@
 3. Graph, from two searches whose results are merged, the `k` best of each document kept:
    a. ORDERS times, documents are put into cells of about `cell_rows`, and in a cell all pairs are compared by the cosine of their whole vectors (values to within 2 %). A cell is one of at most CLUSTERS spherical k-means clusters,
       or, where these are larger than a cell, a part of one by a weighted MinHash of the words. Both differ each time.
-   b. Each document's RARE rarest shared words bring it together with those that have the same ones among theirs; of words in more than BLOCK documents, those near by MinHash. The nearness
+   b. Each document's RARE rarest shared words bring it together with all that have the same ones among theirs, however many these are; all sums are taken before any neighbour is left out. The nearness
       of such a pair is the cosine over these words alone, and it counts from RARE_FROM on, which takes three words of twelve: fewer say little about the rest.
    This is a search and no exact answer beyond one cell: the README gives its recall against brute force over the whole tf-idf vectors.
 4. Paths: within a cell of the first order, a path starts at the unvisited document of the lowest degree, and goes on to the nearest unvisited neighbour until there is none. Then paths are
@@ -13,7 +13,7 @@
 5. Windows: the joined paths that begin in a cell, one after another, are cut into windows of window_words; a document that crosses an end
    is continued in the next window, so that nothing is lost or repeated.
 
-Texts are read twice and never shuffled. What is shuffled is 4 bytes a distinct shared word for each order, 28 bytes a rare word, the neighbours found, and a few numbers a document. Cells have
+Texts are read twice and never shuffled. What is shuffled is 4 bytes a distinct shared word for each order, 20 bytes a rare word, 12 a pair that shares one, the neighbours found, and a few numbers a document. Cells have
 about cell_rows documents at every size; of a MinHash that more than 2 * cell_rows documents and a ten-thousandth of all have, cells are split by row, so that hot groups of copies are spread.
 A task holds at most 2 * cell_rows documents or CELL_WORDS words of a cell. The clusters are fitted to about SAMPLE vectors; there are as many as cells, up to CLUSTERS.
 
@@ -45,9 +45,8 @@ FEATURES = 1024
 SAMPLE = 8192
 RARE = 12
 RARE_FROM = 0.24
-BLOCK = 64
 CHUNK = 50_000
-KEEP = 8
+LISTED = 64
 PANEL = 512
 PIECE = 1 << 20
 HEAD_PART = 16
@@ -379,67 +378,101 @@ def _postings(batches):
     for b in batches:
         records, first = _records(b.column("rare"), _RECORD)
         count = np.diff(first)
-        mh = b.column("mh").combine_chunks() if isinstance(b.column("mh"), pa.ChunkedArray) else b.column("mh")
-        near = np.repeat(mh.flatten().to_numpy().reshape(-1, ORDERS)[:, 0], count)
         rid = np.repeat(b.column("rid").to_numpy(), count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records["word"])), pa.array(near), pa.array(rid), pa.array(np.ascontiguousarray(records["value"]))], names=["word", "near", "rid", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records["word"])), pa.array(rid), pa.array(np.ascontiguousarray(records["value"]))], names=["word", "rid", "value"])
 
 
-def pair_blocks(word: np.ndarray, rid: np.ndarray, value: np.ndarray, keep: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, sum of products) of the `keep` best for each row; word is sorted, and each one's rows are paired within blocks."""
+def pair_sums(word: np.ndarray, rid: np.ndarray, value: np.ndarray, piece: int = PIECE):
+    """Pieces (row, neighbour, sum of products) over all pairs of rows of each word, row < neighbour; word is sorted. A pair is in several pieces if its words are."""
     n = len(word)
+    if not n:
+        return
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    end = np.append(start[1:], n)
-    place = np.arange(n) - np.repeat(start, end - start)
-    until = np.minimum(np.repeat(end, end - start), np.arange(n) - place % block + block)
+    count = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n))) - np.arange(n) - 1
+    ends = np.cumsum(count)
     held, local = np.unique(rid, return_inverse=True)
-    keys, products = [], []
-    alive, d = np.arange(n), 1
-    while len(alive := alive[alive + d < until[alive]]):
-        a, b = local[alive], local[alive + d]
-        keys.append(np.minimum(a, b) * len(held) + np.maximum(a, b))
-        products.append(value[alive] * value[alive + d])
-        d += 1
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    key, product = np.concatenate(keys), np.concatenate(products)
-    o = np.argsort(key, kind="stable")
-    key, product = key[o], product[o]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    key, product = key[first], np.add.reduceat(product, first)
-    a, b = key // len(held), key % len(held)
-    a, b, product = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([product, product])
-    o = np.lexsort((b, -product, a))
-    a, b, product = a[o], b[o], product[o]
-    best = (np.arange(len(a)) - np.searchsorted(a, a) < keep) & (a != b)
-    return held[a[best]], held[b[best]], product[best]
-
-
-def _pairs(keep: int):
-    def done(t: pa.Table) -> pa.RecordBatch:
-        row, other, sim = pair_blocks(t.column("word").to_numpy(), t.column("rid").to_numpy(), t.column("value").to_numpy(), keep)
-        own, first = np.unique(row, return_index=True)
-        offsets = pa.array(np.append(first, len(row)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float32)))], names=["rid", "others", "sims"])
-
-    def run(batches):
-        held = []
-        for b in batches:
-            held.append(b)
-            if not b.num_rows or sum(x.num_rows for x in held) < CHUNK:
-                continue
-            # a word that fills a whole batch is cut there, as it is by blocks anyway
-            cut = int(np.searchsorted(b.column("word").to_numpy(), b.column("word")[b.num_rows - 1].as_py())) or b.num_rows
-            yield done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+    at = 0
+    while at < n:
+        # a posting's pairs are never cut, and there are fewer than its word's postings
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + piece, "right")))
+        c = count[at:to]
+        one = np.repeat(np.arange(at, to), c)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(c) - c, c)
+        a, b = local[one], local[two]
+        key = np.minimum(a, b) * len(held) + np.maximum(a, b)
+        product = value[one] * value[two]
+        o = np.argsort(key, kind="stable")
+        key, product = key[o], product[o]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        if len(first):
+            key, product = key[first], np.add.reduceat(product, first)
+            a, b = key // len(held), key % len(held)
+            yield held[a[a != b]], held[b[a != b]], product[a != b]
+        at = to
+
+
+def _cut_lists(row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    """Lists of at most LISTED entries, as rows of batches are counted and not weighed; row is sorted."""
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    first = np.flatnonzero(place % LISTED == 0)
+    offsets = pa.array(np.append(first, len(row)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float32)))], names=["rid", "others", "sims"])
+
+
+def _pairs(batches):
+    def done(t: pa.Table):
+        for row, other, sim in pair_sums(t.column("word").to_numpy(), t.column("rid").to_numpy(), t.column("value").to_numpy()):
+            yield _cut_lists(row, other, sim)
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        # the last word may go on in the next batch, and is never cut
+        cut = int(np.searchsorted(b.column("word").to_numpy(), b.column("word")[b.num_rows - 1].as_py()))
+        if sum(x.num_rows for x in held) < CHUNK or not cut:
+            continue
+        yield from done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+        held = [b.slice(cut)]
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
+def _totals(batches):
+    """Rows (rid, others, sims), sorted by rid, whose sims are parts of sums: the pairs whose sum is at least RARE_FROM, from both sides."""
+
+    def done(t: pa.Table):
+        lists = t.column("others").combine_chunks()
+        rid = np.repeat(t.column("rid").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        other, sim = lists.flatten().to_numpy(), t.column("sims").combine_chunks().flatten().to_numpy()
+        o = np.lexsort((other, rid))
+        rid, other, sim = rid[o], other[o], sim[o]
+        first = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (other[1:] != other[:-1]))[: len(rid)])
+        if not len(first):
+            return
+        sim = np.add.reduceat(sim, first)
+        near = sim >= RARE_FROM
+        rid, other, sim = rid[first][near], other[first][near], sim[near]
+        rid, other, sim = np.append(rid, other), np.append(other, rid), np.append(sim, sim)
+        o = np.argsort(rid, kind="stable")
+        yield _cut_lists(rid[o], other[o], sim[o])
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rid = b.column("rid").to_numpy()
+        held.append(b)
+        if cut := int(np.searchsorted(rid, rid[-1])):
+            yield from done(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
             held = [b.slice(cut)]
-        if sum(x.num_rows for x in held):
-            yield done(pa.Table.from_batches(held))
-
-    return run
+    if held:
+        yield from done(pa.Table.from_batches(held))
 
 
-def _best(k: int, summed: bool = False):
-    """Rows (rid, others, sims), sorted by rid: the k best distinct neighbours of each rid, the nearest first. What a pair has in several rows is summed up, or the best of it taken."""
+def _best(k: int):
+    """Rows (rid, others, sims), sorted by rid: the k best distinct neighbours of each rid, the nearest first. Of what a pair has in several rows, the best is taken."""
 
     def done(t: pa.Table) -> pa.RecordBatch:
         lists = t.column("others").combine_chunks()
@@ -449,9 +482,6 @@ def _best(k: int, summed: bool = False):
         o = np.lexsort((sim, other, rid))
         rid, other, sim = rid[o], other[o], sim[o]
         last = np.append((rid[1:] != rid[:-1]) | (other[1:] != other[:-1]), True)[: len(rid)]
-        if summed and len(sim):
-            sim = np.repeat(np.add.reduceat(sim, np.append(0, np.flatnonzero(last)[:-1] + 1)), np.diff(np.flatnonzero(last), prepend=-1))
-            last &= sim >= RARE_FROM
         rid, other, sim = rid[last], other[last], sim[last]
         o = np.lexsort((other, -sim, rid))
         rid, other, sim = rid[o], other[o], sim[o]
@@ -507,20 +537,20 @@ def walk(n: int, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> tuple[l
     return paths, degree
 
 
-def by_rare_words(rows: DataFrame, k: int) -> DataFrame:
-    """(rid, others, sims): the neighbours of each row by its rarest words, the nearest first."""
+def by_rare_words(rows: DataFrame) -> DataFrame:
+    """(rid, others, sims): all neighbours of each row by its rarest words; a row may have several lists."""
     width = max(1, common.shuffle_width(rows.sparkSession))
     named = "rid bigint, others array<bigint>, sims array<float>"
-    postings = rows.where("n_words > 0").select("rid", "rare", "mh").mapInArrow(_postings, "word bigint, near bigint, rid bigint, value float")
-    found = postings.repartition(width, "word").sortWithinPartitions("word", "near", "rid").mapInArrow(_pairs(max(k, KEEP)), named)
-    return found.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k, summed=True), named)
+    postings = rows.where("n_words > 0").select("rid", "rare").mapInArrow(_postings, "word bigint, rid bigint, value float")
+    found = postings.repartition(width, "word").sortWithinPartitions("word", "rid").mapInArrow(_pairs, named)
+    return found.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_totals, named)
 
 
 def graph(rows: DataFrame, n: int, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """((rid, others, sims): the k best neighbours of each row; (rid, block): where each is walked)."""
     width = max(1, common.shuffle_width(rows.sparkSession))
     found = common.written(in_cells(rows, n, k, cell_rows), "packing-found")
-    both = found.select("rid", "others", "sims").unionByName(by_rare_words(rows, k))
+    both = found.select("rid", "others", "sims").unionByName(by_rare_words(rows))
     best = both.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k), "rid bigint, others array<bigint>, sims array<float>")
     return common.written(best, "packing-graph"), found.where("block IS NOT NULL").select("rid", "block")
 

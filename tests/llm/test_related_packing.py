@@ -182,3 +182,30 @@ def test_hot_copies_are_spread(spark):
     sizes = [x["count"] for x in blocks.groupBy("block").count().collect()]
     assert max(sizes) < 100 and sum(sizes) == 900
     lossless([(x, words(x[1])) for x in data], R.pack(awkward.frame(spark, data), window_words=300, cell_rows=50).collect(), 300)
+
+
+def test_rare_words_of_many_rows(spark):
+    """All rows of a word are paired, of however many rows, and sums over words that lie in different pieces and tasks are whole."""
+    rng = np.random.default_rng(5)
+    n = 300
+    # word 0 is in all rows, others in some
+    held = [np.unique(np.append(0, rng.integers(1, 80, 6))) for _ in range(n)]
+    value = [rng.random(len(w)).astype(np.float32) for w in held]
+    dense = np.zeros((n, 80))
+    for i, (w, v) in enumerate(zip(held, value)):
+        v /= np.linalg.norm(v)
+        dense[i, w] = v
+    rare = [np.rec.fromarrays([w, v], dtype=R._RECORD).tobytes() for w, v in zip(held, value)]
+    rows = spark.createDataFrame([(i, 5, bytearray(x), [0] * R.ORDERS) for i, x in enumerate(rare)], "rid long, n_words long, rare binary, mh array<long>")
+    sim = dense @ dense.T
+    want = {(i, j): sim[i, j] for i in range(n) for j in range(n) if i != j and sim[i, j] >= R.RARE_FROM}
+    got = {}
+    for x in R.by_rare_words(rows).collect():
+        for o, s in zip(x.others, x.sims):
+            assert (x.rid, o) not in got
+            got[x.rid, o] = s
+    edge = {p for p in want.keys() ^ got.keys() if abs(sim[p] - R.RARE_FROM) < 1e-5}
+    assert (want.keys() ^ got.keys()) == edge and all(abs(got[p] - sim[p]) < 1e-4 for p in got)
+    word, rid = np.repeat(np.arange(80), n), np.tile(np.arange(n), 80)
+    pieces = [len(a) for a, _, _ in R.pair_sums(word[: 2 * n], rid[: 2 * n], np.ones(2 * n, np.float32), 1000)]
+    assert max(pieces) <= 1000 and sum(pieces) == n * (n - 1)
