@@ -4,7 +4,7 @@
 2. Vectors: a document is its words with weights (1 + log tf) * idf, of unit length; words that no other document has are left out afterwards. No projection.
 3. Graph, from two searches whose results are merged, the `k` best of each document kept:
    a. ORDERS times, documents are put into cells of about `cell_rows`, and in a cell all pairs are compared by the cosine of their whole vectors (values to within 2 %). A cell is one of at most CLUSTERS spherical k-means clusters,
-      or, where these are larger than a cell, a part of one by a weighted MinHash of the words. Both differ each time.
+      or, where these are larger than a cell, a part of one by a weighted MinHash of the words. Both differ each time. A cell too large for a task is cut into pieces, and all its pieces are compared with each other.
    b. Each document's RARE rarest shared words bring it together with all that have the same ones among theirs, however many these are; all sums are taken before any neighbour is left out. The nearness
       of such a pair is the cosine over these words alone, and it counts from RARE_FROM on, which takes three words of twelve: fewer say little about the rest.
    This is a search and no exact answer beyond one cell: the README gives its recall against brute force over the whole tf-idf vectors.
@@ -14,8 +14,9 @@
    is continued in the next window, so that nothing is lost or repeated.
 
 Texts are read twice and never shuffled. What is shuffled is 4 bytes a distinct shared word for each order, 20 bytes a rare word, 12 a pair that shares one, the neighbours found, and a few numbers a document. Cells have
-about cell_rows documents at every size; of a MinHash that more than 2 * cell_rows documents and a ten-thousandth of all have, cells are split by row, so that hot groups of copies are spread.
-A task holds at most 2 * cell_rows documents or CELL_WORDS words of a cell. The clusters are fitted to about SAMPLE vectors; there are as many as cells, up to CLUSTERS.
+about cell_rows documents; of a MinHash that more than 2 * cell_rows documents and a ten-thousandth of all have, cells are split by row, so that hot groups are spread.
+A task holds at most 2 * cell_rows documents or CELL_WORDS words of a cell. What is more lies in further pieces, and every two pieces of a cell meet in a task of their own (quadratic in the documents of one cell, but for copies:
+of one vector k + 1 documents a piece go there, which fill any list). The clusters are fitted to about SAMPLE vectors; there are as many as cells, up to CLUSTERS.
 
 Defined results: null texts, empty texts and texts without words have no vector and no neighbours; they take up no words, and come last in
 cells of their own kind (negative) as pieces of 0 words. Ties in degree and along a path go to the smaller id, ties at the k-th place of a list to any of them. Rows that repeat are packed as often as they
@@ -50,6 +51,8 @@ LISTED = 64
 PANEL = 512
 PIECE = 1 << 20
 HEAD_PART = 16
+SPLIT_BITS = 20
+SPLITS = (1 << SPLIT_BITS) - 1
 SEED = 20240803
 _U = np.uint64
 
@@ -197,10 +200,10 @@ def fit_clusters(x: np.ndarray, clusters: int, seed: int, rounds: int = 12) -> n
     return centre
 
 
-def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apart: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour, cosine) of the k nearest others of each row, over all pairs; rows are sparse, word[first[i]:first[i + 1]] with values.
 
-    Frequent words go through a matrix product, the others through their lists of rows. Rows that share no word are no neighbours.
+    With apart, only the pairs of a row before it and one from it on. Frequent words go through a matrix product, the others through their lists of rows. Rows that share no word are no neighbours.
     """
     n = len(first) - 1
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
@@ -218,8 +221,8 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int) -> t
     key, listed_value = key[o], value[o]
     listed = (key % max(n, 1)).astype(np.int32)
     # where each word's list goes on from the first row of the panel, and where it ends
-    onward = np.searchsorted(key, np.arange(len(held), dtype=np.int64) * n)
-    stop = np.append(onward[1:], len(key))
+    onward = np.searchsorted(key, np.arange(len(held), dtype=np.int64) * n + apart)
+    stop = np.searchsorted(key, np.arange(1, len(held) + 1, dtype=np.int64) * n)
     del o, of_head, tail, key
     found: list[tuple] = []
 
@@ -234,9 +237,10 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int) -> t
             ok = sim > 0
             found.append(((np.repeat(np.arange(len(part), dtype=np.int32), few) + np.int32(rows + i))[ok], (best.ravel() + others)[ok].astype(np.int32), sim[ok]))
 
-    for a in range(0, n, PANEL):
-        b, width = min(a + PANEL, n), n - a
-        s = heads[a:b] @ heads[a:].T
+    for a in range(0, apart or n, PANEL):
+        b, left = min(a + PANEL, apart or n), apart or a
+        width = n - left
+        s = heads[a:b] @ heads[left:].T
         flat = s.reshape(-1)
         lo, hi = np.searchsorted(doc, [a, b])
         begin = onward[word[lo:hi]]
@@ -247,16 +251,16 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int) -> t
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
             c = count[at:to]
             place = np.arange(int(c.sum())) + np.repeat(begin[at:to] - (np.cumsum(c) - c), c)
-            target = listed[place] + np.repeat((doc[lo + at : lo + to].astype(np.int64) - a) * width - a, c)
+            target = listed[place] + np.repeat((doc[lo + at : lo + to].astype(np.int64) - a) * width - left, c)
             np.add.at(flat, target, np.repeat(value[lo + at : lo + to], c) * listed_value[place])
             at = to
-        onward += np.bincount(word[lo:hi], minlength=len(held))
-        s[np.arange(b - a), np.arange(b - a)] = -1
-        if width > 1:
-            keep(s, a, a)
-        if b < n:
-            for c in range(b, n, step := max(1, PIECE // (b - a))):
-                keep(np.ascontiguousarray(s[:, c - a : min(c + step, n) - a].T), c, a)
+        if not apart:
+            onward += np.bincount(word[lo:hi], minlength=len(held))
+            s[np.arange(b - a), np.arange(b - a)] = -1
+        if width:
+            keep(s, a, left)
+        for c in range(apart or b, n, step := max(1, PIECE // (b - a))):
+            keep(np.ascontiguousarray(s[:, c - left : min(c + step, n) - left].T), c, a)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     row, other, sim = (np.concatenate([f[i] for f in found]) for i in range(3))
@@ -266,29 +270,44 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int) -> t
     return row[best].astype(np.int64), other[best].astype(np.int64), sim[best]
 
 
-_FOUND = "rid bigint, block bigint, others array<bigint>, sims array<float>"
+_NEAR = "rid bigint, others array<bigint>, sims array<float>"
+_FOUND = f"{_NEAR}, block bigint, whole bigint, piece bigint, vector binary"
+_near_schema = pa.schema([("rid", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
+_found_schema = pa.schema([*_near_schema, ("block", pa.int64()), ("whole", pa.int64()), ("piece", pa.int64()), ("vector", pa.binary())])
 
 
-def _lists(rid: np.ndarray, row: np.ndarray, other: np.ndarray, sim: np.ndarray, block: int | None) -> pa.RecordBatch:
+def _lists(rid: np.ndarray, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> list[pa.Array]:
     """A row for each rid with its neighbours, which may be none."""
     offsets = pa.array(np.searchsorted(row, np.arange(len(rid) + 1)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rid), pa.array([block] * len(rid), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(rid[other])), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float32)))], names=["rid", "block", "others", "sims"]
-    )
+    return [pa.array(rid), pa.ListArray.from_arrays(offsets, pa.array(rid[other])), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float32)))]
+
+
+def surplus(vector: pa.Array, k: int) -> np.ndarray:
+    """Which rows have the vector of k + 1 rows before them: their lists are full of copies, and so are those of the rows that are near to them."""
+    code = vector.dictionary_encode().indices.to_numpy()
+    o = np.argsort(code, kind="stable")
+    out = np.empty(len(code), bool)
+    out[o] = np.arange(len(code)) - np.searchsorted(code[o], code[o]) > k
+    return out
 
 
 def _search(k: int, cell_rows: int):
-    def done(part: pa.Table) -> pa.RecordBatch:
+    def done(part: pa.Table, is_cut: bool) -> pa.RecordBatch:
         entries, first = _records(part.column("vector"), _ENTRY)
         row, other, sim = nearest(first, entries >> np.uint32(8), _SCALE[entries & np.uint32(255)], k)
         release()
         cell, rid = part.column("cell")[0].as_py(), part.column("rid").to_numpy()
         # a block is named by its cell and first row
         name = int(mix64(np.array([cell], np.int64).view(_U) ^ mix64(rid[:1].view(_U)))[0] >> _U(1))
-        return _lists(rid, row, other, sim, name if part.column("turn")[0].as_py() == 0 else None)
-
-    def cut(held: list, last: bool):
-        """Blocks of what is held of one cell: all of it if it ends here and fits, and a first block if it is too much."""
+        block = pa.array([name if part.column("turn")[0].as_py() == 0 else None] * len(rid), pa.int64())
+        vector = part.column("vector").combine_chunks()
+        # what in_pieces needs of a cell that isn't whole
+        off = surplus(vector, k) if is_cut or cell & SPLITS else np.ones(len(rid), bool)
+        marks = [pa.array(np.full(len(rid), x), pa.int64(), mask=off) for x in (cell >> SPLIT_BITS, name)]
+        return pa.RecordBatch.from_arrays([*_lists(rid, row, other, sim), block, *marks, pc.if_else(pa.array(off), pa.scalar(None, pa.binary()), vector)], schema=_found_schema)
+
+    def cut(held: list, last: bool, is_cut: bool):
+        """Blocks of what is held of one cell: all of it if it ends here and fits, and a first block if it is too much. is_cut: blocks of this cell went before."""
         table = pa.Table.from_batches(held).combine_chunks()
         words = np.cumsum(pc.binary_length(table.column("vector")).to_numpy() // _ENTRY.itemsize)
         at = 0
@@ -298,38 +317,43 @@ def _search(k: int, cell_rows: int):
             if left <= min(most, 2 * cell_rows - 1):
                 break
             to = at + min(most, cell_rows)
-            yield done(table.slice(at, to - at)), None
-            at = to
+            yield done(table.slice(at, to - at), is_cut or to < table.num_rows or not last), None
+            at, is_cut = to, True
         if at < table.num_rows:
-            yield (done(table.slice(at)), None) if last else (None, table.slice(at).to_batches())
+            yield (done(table.slice(at), is_cut), None) if last else (None, table.slice(at).to_batches())
 
     def run(batches):
         held: list = []
-        size = 0
+        size, is_cut, at = 0, False, None
         for b in batches:
             cell = b.column("cell").to_numpy()
             edges = [*np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist(), len(cell)] if len(cell) else []
             for x, y in zip(edges, edges[1:]):
-                if held and held[0].column("cell")[0].as_py() != cell[x]:
-                    yield from (out for out, _ in cut(held, True))
-                    held, size = [], 0
+                if at != cell[x]:
+                    if held:
+                        yield from (out for out, _ in cut(held, True, is_cut))
+                    held, size, is_cut, at = [], 0, False, cell[x]
                 held.append(b.slice(x, y - x))
                 size += y - x
                 if size >= 2 * cell_rows or sum(h.column("vector").nbytes for h in held) > CELL_WORDS * _ENTRY.itemsize:
                     rest: list = []
-                    for out, left in cut(held, False):
+                    for out, left in cut(held, False, is_cut):
                         if out is not None:
+                            is_cut = True
                             yield out
                         rest = left or rest
                     held, size = rest, sum(h.num_rows for h in rest)
         if held:
-            yield from (out for out, _ in cut(held, True))
+            yield from (out for out, _ in cut(held, True, is_cut))
 
     return run
 
 
 def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
-    """(rid, block, others, sims) of each row with a vector, once for each order; block is the cell's piece in the first order, null in the others."""
+    """(rid, others, sims, block, whole, piece, vector) of each row with a vector, once for each order; block is the cell's piece in the first order, null in the others.
+
+    Neighbours are those of a piece. Of a cell in several pieces, rows have its name (whole), their piece's and their vector, for in_pieces to compare the pieces with each other.
+    """
     spark = rows.sparkSession
     width = max(1, common.shuffle_width(spark))
     have = rows.where("n_words > 0")
@@ -344,7 +368,7 @@ def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
     # at most 10,000 an order, by their least count
     hot_from = max(2 * cell_rows, n // 10_000)
     hot = have.select(F.explode("mh").alias("mh")).groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") > hot_from)
-    splits = {r["mh"]: -(-r["n"] // cell_rows) for r in hot.collect()}
+    splits = {r["mh"]: min(SPLITS, -(-r["n"] // cell_rows)) for r in hot.collect()}
     held = spark.sparkContext.broadcast((fitted, splits))
 
     def spread(batches):
@@ -367,13 +391,52 @@ def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
                 split = np.array([splits.get(v, 0) for v in value.tolist()], np.int64) if splits else np.zeros(len(value), np.int64)
                 salt = np.where(split > 0, mix64(rid.view(_U)) % np.maximum(split, 1).view(_U) + _U(1), _U(0)) if splits else np.zeros(len(value), _U)
                 hot_cell = np.where(split > 0, value, piece)
-                cell = mix64(mix64(hot_cell.view(_U) + salt * _U(0x9E3779B97F4A7C15)) + (own.astype(_U) * _U(ORDERS) + _U(r)) * _U(0xD1B54A32D192ED03))
+                cell = mix64(mix64(hot_cell.view(_U)) + (own.astype(_U) * _U(ORDERS) + _U(r)) * _U(0xD1B54A32D192ED03))
+                cell = (cell & ~_U(SPLITS)) | (salt & _U(SPLITS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), r, np.int32)), pa.array(cell.view(np.int64)), pa.array(value), b.column("rid"), b.column("vector")], names=["turn", "cell", "near", "rid", "vector"])
 
     celled = have.select("rid", "mh", "vector").mapInArrow(spread, "turn int, cell bigint, near bigint, rid bigint, vector binary")
     return celled.repartition(width, "cell").sortWithinPartitions("cell", "near", "rid").mapInArrow(_search(k, cell_rows), _FOUND)
 
 
+def _across(k: int, cell_rows: int):
+    def pieces(t: pa.Table):
+        """Two of them hold no more rows and words than a cell may, or a row each."""
+        words = np.cumsum(pc.binary_length(t.column("vector")).to_numpy() // _ENTRY.itemsize)
+        at = 0
+        while at < t.num_rows:
+            most = max(1, int(np.searchsorted(words - (words[at - 1] if at else 0), CELL_WORDS // 2, "right")) - at)
+            yield t.slice(at, to := min(most, cell_rows))
+            at += to
+
+    def go(t: pa.Table) -> pa.Table:
+        """The neighbours of the rows of one piece in the other, and the other way round."""
+        in_first = pc.equal(t.column("piece"), t.column("one"))
+        second = list(pieces(t.filter(pc.invert(in_first)).select(["rid", "vector"])))
+        out = [pa.RecordBatch.from_arrays([pa.array([], x.type) for x in _near_schema], schema=_near_schema)]
+        for a in pieces(t.filter(in_first).select(["rid", "vector"])):
+            for b in second:
+                both = pa.concat_tables([a, b])
+                entries, first = _records(both.column("vector"), _ENTRY)
+                row, other, sim = nearest(first, entries >> np.uint32(8), _SCALE[entries & np.uint32(255)], k, a.num_rows)
+                out.append(pa.RecordBatch.from_arrays(_lists(both.column("rid").to_numpy(), row, other, sim), schema=_near_schema))
+                release()
+        return pa.Table.from_batches(out)
+
+    return go
+
+
+def in_pieces(found: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """(rid, others, sims): the k nearest of each row in each other piece of its cell, for all cells in several pieces; every two pieces meet in one task."""
+    width = max(1, common.shuffle_width(found.sparkSession))
+    cut = found.where("whole IS NOT NULL").select("whole", "piece", "rid", "vector")
+    names = cut.select("whole", "piece").distinct()
+    pairs = names.withColumnRenamed("piece", "one").join(names.select("whole", F.col("piece").alias("two")), "whole").where("one < two")
+    sides = pairs.select("whole", "one", "two", F.explode(F.array("one", "two")).alias("piece"))
+    met = cut.join(sides, ["whole", "piece"]).select("one", "two", "piece", "rid", "vector")
+    return met.repartition(width, "one", "two").groupBy("one", "two").applyInArrow(_across(k, cell_rows), _NEAR)
+
+
 def _postings(batches):
     for b in batches:
         records, first = _records(b.column("rare"), _RECORD)
@@ -540,18 +603,17 @@ def walk(n: int, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> tuple[l
 def by_rare_words(rows: DataFrame) -> DataFrame:
     """(rid, others, sims): all neighbours of each row by its rarest words; a row may have several lists."""
     width = max(1, common.shuffle_width(rows.sparkSession))
-    named = "rid bigint, others array<bigint>, sims array<float>"
     postings = rows.where("n_words > 0").select("rid", "rare").mapInArrow(_postings, "word bigint, rid bigint, value float")
-    found = postings.repartition(width, "word").sortWithinPartitions("word", "rid").mapInArrow(_pairs, named)
-    return found.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_totals, named)
+    found = postings.repartition(width, "word").sortWithinPartitions("word", "rid").mapInArrow(_pairs, _NEAR)
+    return found.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_totals, _NEAR)
 
 
 def graph(rows: DataFrame, n: int, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """((rid, others, sims): the k best neighbours of each row; (rid, block): where each is walked)."""
     width = max(1, common.shuffle_width(rows.sparkSession))
     found = common.written(in_cells(rows, n, k, cell_rows), "packing-found")
-    both = found.select("rid", "others", "sims").unionByName(by_rare_words(rows))
-    best = both.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k), "rid bigint, others array<bigint>, sims array<float>")
+    both = found.select("rid", "others", "sims").unionByName(in_pieces(found, k, cell_rows)).unionByName(by_rare_words(rows))
+    best = both.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k), _NEAR)
     return common.written(best, "packing-graph"), found.where("block IS NOT NULL").select("rid", "block")
 
 

@@ -209,3 +209,39 @@ def test_rare_words_of_many_rows(spark):
     word, rid = np.repeat(np.arange(80), n), np.tile(np.arange(n), 80)
     pieces = [len(a) for a, _, _ in R.pair_sums(word[: 2 * n], rid[: 2 * n], np.ones(2 * n, np.float32), 1000)]
     assert max(pieces) <= 1000 and sum(pieces) == n * (n - 1)
+
+
+def test_pieces_of_a_cell_meet(spark, monkeypatch):
+    """A cell cut into pieces, by a hot MinHash or as it is too large for a task, gives each row the nearest of the whole cell, with and without many copies in it."""
+    monkeypatch.setattr(R, "CLUSTERS", 1)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(700)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(30)) for _ in range(500)]
+    for data, hot in ((texts, True), (texts, False), (texts[:200] + texts[:1] * 150, True)):
+        rows, n = R._placed(awkward.frame(spark, [awkward.row(i, t) for i, t in enumerate(data)]).select("doc_id", "text"))
+        # one MinHash for all, or different ones that lie in the first of the cluster's cells
+        number = {x.rid: x.doc_id for x in rows.select("rid", "doc_id").collect()}
+        rows = rows.withColumn("mh", R.F.array_repeat(R.F.lit(1).cast("bigint") if hot else R.F.col("rid") % 1000, R.ORDERS))
+        found = R.in_cells(rows, n, 5, 60).cache()
+        both = found.select("rid", "others", "sims").unionByName(R.in_pieces(found, 5, 60))
+        best = both.repartition(3, "rid").sortWithinPartitions("rid").mapInArrow(R._best(5), R._NEAR).collect()
+        assert len({x.block for x in found.select("block").collect() if x.block is not None}) > 3 and len(best) == len(data)
+        sim = whole_similarities(data)
+        for x in best:
+            mine = sim[number[x.rid]]
+            assert len(x.others) == 5 and x.rid not in x.others
+            assert (mine[[number[o] for o in x.others]] >= np.sort(mine)[-5:].min() - 1e-2).all()
+
+
+def test_nearest_apart():
+    """Pairs of two sets alone, against a dense product."""
+    rng = np.random.default_rng(8)
+    dense = ((rng.random((1500, 300)) < 0.06) * rng.random((1500, 300))).astype(np.float32)
+    row, word = np.nonzero(dense)
+    for apart in (1, 700, 1499):
+        r, o, s = R.nearest(np.searchsorted(row, np.arange(1501)), word.astype(np.uint32), dense[row, word], 5, apart)
+        sim = dense @ dense.T
+        sim[:apart, :apart] = sim[apart:, apart:] = -1
+        want = np.sort(sim, axis=1)[:, -5:]
+        assert ((r < apart) != (o < apart)).all() and np.allclose(sim[r, o], s, atol=1e-5)
+        assert np.allclose(np.sort(s), np.sort(want[want > 0]), atol=1e-5)
