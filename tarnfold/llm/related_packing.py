@@ -50,7 +50,8 @@ CHUNK = 50_000
 LISTED = 64
 PANEL = 512
 PIECE = 1 << 20
-HEAD_PART = 16
+HEAD_PART = 32
+STEP = 1 << 16
 SPLIT_BITS = 20
 SPLITS = (1 << SPLIT_BITS) - 1
 SEED = 20240803
@@ -207,24 +208,29 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apar
     """
     n = len(first) - 1
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
-    held, word = np.unique(word, return_inverse=True)
-    word = word.astype(np.int32)
-    df = np.bincount(word, minlength=len(held))
+    # by word, and within a word by row
+    o = np.argsort((word & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    o = o[np.argsort((word[o] >> np.uint32(16)).astype(np.uint16), kind="stable")]
+    new = np.append(True, np.diff(word[o]) != 0)[: len(o)]
+    df = np.diff(np.append(np.flatnonzero(new), len(o)))
+    word = np.empty(len(o), np.int32)
+    word[o] = np.cumsum(new, dtype=np.int32) - 1
     frequent = df > max(PANEL // 8, n // HEAD_PART)
     of_head = frequent[word]
     heads = np.zeros((n, int(frequent.sum())), np.float32)
     heads[doc[of_head], (np.cumsum(frequent) - 1)[word[of_head]]] = value[of_head]
     tail = ~of_head & (df[word] > 1)
+    o = o[tail[o]]
+    listed, listed_value = doc[o], value[o]
+    # where each word's list ends, and where it goes on from the first row that the panel is compared with
+    stop = np.cumsum(np.where(frequent | (df < 2), 0, df))
+    onward = np.append(0, stop)[: len(stop)]
+    onward += np.bincount(word[tail & (doc < apart)], minlength=len(df))
     doc, word, value = doc[tail], word[tail], value[tail]
-    key = word.astype(np.int64) * n + doc
-    o = np.argsort(key)
-    key, listed_value = key[o], value[o]
-    listed = (key % max(n, 1)).astype(np.int32)
-    # where each word's list goes on from the first row of the panel, and where it ends
-    onward = np.searchsorted(key, np.arange(len(held), dtype=np.int64) * n + apart)
-    stop = np.searchsorted(key, np.arange(1, len(held) + 1, dtype=np.int64) * n)
-    del o, of_head, tail, key
+    del o, new, of_head, tail
     found: list[tuple] = []
+    # what the k-th best of each row is at least
+    least = np.zeros(n, np.float32)
 
     def keep(s: np.ndarray, rows: int, others: int) -> None:
         m = s.shape[1]
@@ -233,7 +239,11 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apar
         for i in range(0, len(s), step := max(1, PIECE // m)):
             part = s[i : i + step]
             best = np.argpartition(part, m - few, axis=1)[:, m - few :] if few < m else np.tile(np.arange(m), (len(part), 1))
-            sim = np.take_along_axis(part, best, 1).ravel()
+            sim = np.take_along_axis(part, best, 1)
+            if few == k:
+                at = slice(rows + i, rows + i + len(part))
+                least[at] = np.maximum(least[at], sim.min(axis=1))
+            sim = sim.ravel()
             ok = sim > 0
             found.append(((np.repeat(np.arange(len(part), dtype=np.int32), few) + np.int32(rows + i))[ok], (best.ravel() + others)[ok].astype(np.int32), sim[ok]))
 
@@ -245,25 +255,40 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apar
         lo, hi = np.searchsorted(doc, [a, b])
         begin = onward[word[lo:hi]]
         count = stop[word[lo:hi]] - begin
+        base = (doc[lo:hi].astype(np.int64) - a) * width - left
         ends = np.cumsum(count)
         at = 0
         while at < hi - lo:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
             c = count[at:to]
-            place = np.arange(int(c.sum())) + np.repeat(begin[at:to] - (np.cumsum(c) - c), c)
-            target = listed[place] + np.repeat((doc[lo + at : lo + to].astype(np.int64) - a) * width - left, c)
-            np.add.at(flat, target, np.repeat(value[lo + at : lo + to], c) * listed_value[place])
+            place = np.arange(int(c.sum()))
+            place += np.repeat(begin[at:to] - (np.cumsum(c) - c), c)
+            target = np.repeat(base[at:to], c)
+            target += listed[place]
+            product = np.repeat(value[lo + at : lo + to], c)
+            product *= listed_value[place]
+            np.add.at(flat, target, product)
             at = to
         if not apart:
-            onward += np.bincount(word[lo:hi], minlength=len(held))
+            onward += np.bincount(word[lo:hi], minlength=len(df))
             s[np.arange(b - a), np.arange(b - a)] = -1
         if width:
             keep(s, a, left)
         for c in range(apart or b, n, step := max(1, PIECE // (b - a))):
-            keep(np.ascontiguousarray(s[:, c - left : min(c + step, n) - left].T), c, a)
+            part = s[:, c - left : min(c + step, n) - left]
+            floor = least[c : c + part.shape[1]]
+            near = part > floor
+            # where few are over what is known, these are taken as they are
+            if floor.min() > 0 and np.count_nonzero(near) <= 4 * k * len(floor):
+                row, col = np.nonzero(near)
+                found.append(((col + c).astype(np.int32), (row + a).astype(np.int32), part[row, col]))
+            else:
+                keep(np.ascontiguousarray(part.T), c, a)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     row, other, sim = (np.concatenate([f[i] for f in found]) for i in range(3))
+    ok = sim >= least[row]
+    row, other, sim = row[ok], other[ok], sim[ok]
     o = np.lexsort((other, -sim, row))
     row, other, sim = row[o], other[o], sim[o]
     best = np.arange(len(row)) - np.searchsorted(row, row) < k
