@@ -633,13 +633,25 @@ def by_rare_words(rows: DataFrame) -> DataFrame:
     return found.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_totals, _NEAR)
 
 
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """df written, and the files of its shuffles deleted thereafter, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return common.written(df, name)
+    finally:
+        conf.set(key, was)
+
+
 def graph(rows: DataFrame, n: int, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """((rid, others, sims): the k best neighbours of each row; (rid, block): where each is walked)."""
     width = max(1, common.shuffle_width(rows.sparkSession))
-    found = common.written(in_cells(rows, n, k, cell_rows), "packing-found")
+    found = _freed(in_cells(rows, n, k, cell_rows), "packing-found")
     both = found.select("rid", "others", "sims").unionByName(in_pieces(found, k, cell_rows)).unionByName(by_rare_words(rows))
     best = both.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k), _NEAR)
-    return common.written(best, "packing-graph"), found.where("block IS NOT NULL").select("rid", "block")
+    return _freed(best, "packing-graph"), found.where("block IS NOT NULL").select("rid", "block")
 
 
 def _walked(rows: DataFrame, best: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -245,3 +245,18 @@ def test_nearest_apart():
         want = np.sort(sim, axis=1)[:, -5:]
         assert ((r < apart) != (o < apart)).all() and np.allclose(sim[r, o], s, atol=1e-5)
         assert np.allclose(np.sort(s), np.sort(want[want > 0]), atol=1e-5)
+
+
+def test_shuffles_of_a_write_are_freed(spark, monkeypatch):
+    """The cleanup holds for the write alone, also if it fails."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, seen = spark.conf.get(key), []
+    real = R.common.written
+    monkeypatch.setattr(R.common, "written", lambda *a: (seen.append(spark.conf.get(key)), real(*a))[1])
+    assert sorted(x.id for x in R._freed(spark.range(50).repartition(3, "id"), "freed").collect()) == list(range(50))
+    monkeypatch.setattr(R.common, "written", lambda *a: 1 / 0)
+    try:
+        R._freed(spark.range(1), "freed")
+    except ZeroDivisionError:
+        seen.append("failed")
+    assert seen == ["true", "failed"] and spark.conf.get(key) == was
