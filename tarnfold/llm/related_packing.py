@@ -15,8 +15,8 @@
 
 Texts are read twice and never shuffled. What is shuffled is 4 bytes a distinct shared word for each order, 20 bytes a rare word, 12 a pair that shares one, the neighbours found, and a few numbers a document. Cells have
 about cell_rows documents; of a MinHash that more than 2 * cell_rows documents and a ten-thousandth of all have, cells are split by row, so that hot groups are spread.
-A task holds at most 2 * cell_rows documents or CELL_WORDS words of a cell. What is more lies in further pieces, and every two pieces of a cell meet in a task of their own (quadratic in the documents of one cell, but for copies:
-of one vector k + 1 documents a piece go there, which fill any list). The clusters are fitted to about SAMPLE vectors; there are as many as cells, up to CLUSTERS.
+A task holds at most 2 * cell_rows documents or CELL_WORDS words of a cell. What is more lies in further pieces, whose vectors are written once to files in the shared folder; every two pieces of a cell meet in a task that reads these
+(quadratic in the documents of one cell, but for copies: of one vector k + 1 documents a piece go there, which fill any list). Orders follow each other, and an order's shuffle and files are deleted before the next. The clusters are fitted to about SAMPLE vectors; there are as many as cells, up to CLUSTERS.
 
 Defined results: null texts, empty texts and texts without words have no vector and no neighbours; they take up no words, and come last in
 cells of their own kind (negative) as pieces of 0 words. Ties in degree and along a path go to the smaller id, ties at the k-th place of a list to any of them. Rows that repeat are packed as often as they
@@ -25,9 +25,13 @@ occur; null ids are packed as null. Other columns are ignored. An empty table gi
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,9 +300,10 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apar
 
 
 _NEAR = "rid bigint, others array<bigint>, sims array<float>"
-_FOUND = f"{_NEAR}, block bigint, whole bigint, piece bigint, vector binary"
+_FOUND = f"{_NEAR}, block bigint, whole bigint, piece string"
 _near_schema = pa.schema([("rid", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
-_found_schema = pa.schema([*_near_schema, ("block", pa.int64()), ("whole", pa.int64()), ("piece", pa.int64()), ("vector", pa.binary())])
+_found_schema = pa.schema([*_near_schema, ("block", pa.int64()), ("whole", pa.int64()), ("piece", pa.string())])
+_piece_schema = pa.schema([("rid", pa.int64()), ("vector", pa.binary())])
 
 
 def _lists(rid: np.ndarray, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> list[pa.Array]:
@@ -316,7 +321,25 @@ def surplus(vector: pa.Array, k: int) -> np.ndarray:
     return out
 
 
-def _search(k: int, cell_rows: int):
+def _put(part: pa.Table, folder: str) -> str:
+    """The rows of a piece in a file of their own, under a name that no other attempt of the task has."""
+    system, inner = pafs.FileSystem.from_uri(folder)
+    system.create_dir(inner, recursive=True)
+    name = f"{uuid.uuid4().hex}.arrow"
+    with system.open_output_stream(f"{inner}/{name}") as out, pa.ipc.new_file(out, _piece_schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as file:
+        file.write_table(part.select(_piece_schema.names).cast(_piece_schema))
+    return f"{folder}/{name}"
+
+
+def _got(path: str) -> pa.Table:
+    system, inner = pafs.FileSystem.from_uri(path)
+    with system.open_input_file(inner) as file:
+        return pa.ipc.open_file(file).read_all()
+
+
+def _search(k: int, cell_rows: int, folder: str | None = None):
+    """folder: where the pieces of cells that aren't whole are put; without it, they aren't kept."""
+
     def done(part: pa.Table, is_cut: bool) -> pa.RecordBatch:
         entries, first = _records(part.column("vector"), _ENTRY)
         row, other, sim = nearest(first, entries >> np.uint32(8), _SCALE[entries & np.uint32(255)], k)
@@ -325,11 +348,12 @@ def _search(k: int, cell_rows: int):
         # a block is named by its cell and first row
         name = int(mix64(np.array([cell], np.int64).view(_U) ^ mix64(rid[:1].view(_U)))[0] >> _U(1))
         block = pa.array([name if part.column("turn")[0].as_py() == 0 else None] * len(rid), pa.int64())
-        vector = part.column("vector").combine_chunks()
-        # what in_pieces needs of a cell that isn't whole
-        off = surplus(vector, k) if is_cut or cell & SPLITS else np.ones(len(rid), bool)
-        marks = [pa.array(np.full(len(rid), x), pa.int64(), mask=off) for x in (cell >> SPLIT_BITS, name)]
-        return pa.RecordBatch.from_arrays([*_lists(rid, row, other, sim), block, *marks, pc.if_else(pa.array(off), pa.scalar(None, pa.binary()), vector)], schema=_found_schema)
+        # what in_pieces needs of a cell that isn't whole, told once by the first row
+        whole, piece = [None] * len(rid), [None] * len(rid)
+        if folder and (is_cut or cell & SPLITS):
+            whole[0] = cell >> SPLIT_BITS
+            piece[0] = _put(part.filter(pa.array(~surplus(part.column("vector").combine_chunks(), k))), folder)
+        return pa.RecordBatch.from_arrays([*_lists(rid, row, other, sim), block, pa.array(whole, pa.int64()), pa.array(piece, pa.string())], schema=_found_schema)
 
     def cut(held: list, last: bool, is_cut: bool):
         """Blocks of what is held of one cell: all of it if it ends here and fits, and a first block if it is too much. is_cut: blocks of this cell went before."""
@@ -374,13 +398,8 @@ def _search(k: int, cell_rows: int):
     return run
 
 
-def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
-    """(rid, others, sims, block, whole, piece, vector) of each row with a vector, once for each order; block is the cell's piece in the first order, null in the others.
-
-    Neighbours are those of a piece. Of a cell in several pieces, rows have its name (whole), their piece's and their vector, for in_pieces to compare the pieces with each other.
-    """
-    spark = rows.sparkSession
-    width = max(1, common.shuffle_width(spark))
+def fit_cells(rows: DataFrame, n: int, cell_rows: int) -> Broadcast:
+    """([(centres, cells of each cluster) of each order], {hot MinHash: in how many pieces its rows are spread})."""
     have = rows.where("n_words > 0")
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = have.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else have
@@ -394,10 +413,21 @@ def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
     hot_from = max(2 * cell_rows, n // 10_000)
     hot = have.select(F.explode("mh").alias("mh")).groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") > hot_from)
     splits = {r["mh"]: min(SPLITS, -(-r["n"] // cell_rows)) for r in hot.collect()}
-    held = spark.sparkContext.broadcast((fitted, splits))
+    return rows.sparkSession.sparkContext.broadcast((fitted, splits))
+
+
+def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int, orders=range(ORDERS), held: Broadcast | None = None, folder: str | None = None) -> DataFrame:
+    """(rid, others, sims, block, whole, piece) of each row with a vector, once for each of the orders; block is the cell's piece in the first order, null in the others.
+
+    Neighbours are those of a piece. Of a cell in several pieces, the first row of each has the cell's name (whole) and the file in folder with the piece's vectors, for in_pieces to compare the pieces with each other.
+    """
+    spark = rows.sparkSession
+    width = max(1, common.shuffle_width(spark))
+    held, folder = held or fit_cells(rows, n, cell_rows), folder or common.scratch_path(spark, "packing-pieces")
 
     def spread(batches):
         fitted, splits = held.value
+        fitted = [fitted[r] for r in orders]
         for b in batches:
             entries, first = _records(b.column("vector"), _ENTRY)
             owns = [np.zeros(b.num_rows, np.int64) for _ in fitted]
@@ -409,8 +439,7 @@ def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
             rid = b.column("rid").to_numpy()
             mh = b.column("mh").combine_chunks() if isinstance(b.column("mh"), pa.ChunkedArray) else b.column("mh")
             mh = mh.flatten().to_numpy().reshape(-1, ORDERS)
-            for r in range(ORDERS):
-                own, parts = owns[r], fitted[r][1]
+            for r, own, (_, parts) in zip(orders, owns, fitted):
                 value = np.ascontiguousarray(mh[:, r])
                 piece = ((value.view(_U) >> _U(11)).astype(np.float64) / (1 << 53) * parts[own]).astype(np.int64)
                 split = np.array([splits.get(v, 0) for v in value.tolist()], np.int64) if splits else np.zeros(len(value), np.int64)
@@ -420,8 +449,8 @@ def in_cells(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
                 cell = (cell & ~_U(SPLITS)) | (salt & _U(SPLITS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), r, np.int32)), pa.array(cell.view(np.int64)), pa.array(value), b.column("rid"), b.column("vector")], names=["turn", "cell", "near", "rid", "vector"])
 
-    celled = have.select("rid", "mh", "vector").mapInArrow(spread, "turn int, cell bigint, near bigint, rid bigint, vector binary")
-    return celled.repartition(width, "cell").sortWithinPartitions("cell", "near", "rid").mapInArrow(_search(k, cell_rows), _FOUND)
+    celled = rows.where("n_words > 0").select("rid", "mh", "vector").mapInArrow(spread, "turn int, cell bigint, near bigint, rid bigint, vector binary")
+    return celled.repartition(width, "cell").sortWithinPartitions("cell", "near", "rid").mapInArrow(_search(k, cell_rows, folder), _FOUND)
 
 
 def _across(k: int, cell_rows: int):
@@ -434,32 +463,28 @@ def _across(k: int, cell_rows: int):
             yield t.slice(at, to := min(most, cell_rows))
             at += to
 
-    def go(t: pa.Table) -> pa.Table:
-        """The neighbours of the rows of one piece in the other, and the other way round."""
-        in_first = pc.equal(t.column("piece"), t.column("one"))
-        second = list(pieces(t.filter(pc.invert(in_first)).select(["rid", "vector"])))
-        out = [pa.RecordBatch.from_arrays([pa.array([], x.type) for x in _near_schema], schema=_near_schema)]
-        for a in pieces(t.filter(in_first).select(["rid", "vector"])):
-            for b in second:
-                both = pa.concat_tables([a, b])
-                entries, first = _records(both.column("vector"), _ENTRY)
-                row, other, sim = nearest(first, entries >> np.uint32(8), _SCALE[entries & np.uint32(255)], k, a.num_rows)
-                out.append(pa.RecordBatch.from_arrays(_lists(both.column("rid").to_numpy(), row, other, sim), schema=_near_schema))
-                release()
-        return pa.Table.from_batches(out)
+    def run(batches):
+        """The neighbours of the rows of one piece in the other, and the other way round, for each pair of pieces."""
+        for b in batches:
+            for one, two in zip(b.column("one").to_pylist(), b.column("two").to_pylist()):
+                second = list(pieces(_got(two)))
+                for x in pieces(_got(one)):
+                    for y in second:
+                        both = pa.concat_tables([x, y])
+                        entries, first = _records(both.column("vector"), _ENTRY)
+                        row, other, sim = nearest(first, entries >> np.uint32(8), _SCALE[entries & np.uint32(255)], k, x.num_rows)
+                        yield pa.RecordBatch.from_arrays(_lists(both.column("rid").to_numpy(), row, other, sim), schema=_near_schema)
+                        release()
 
-    return go
+    return run
 
 
 def in_pieces(found: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """(rid, others, sims): the k nearest of each row in each other piece of its cell, for all cells in several pieces; every two pieces meet in one task."""
+    """(rid, others, sims): the k nearest of each row in each other piece of its cell, for all cells in several pieces; every two pieces meet in one task, which reads their files."""
     width = max(1, common.shuffle_width(found.sparkSession))
-    cut = found.where("whole IS NOT NULL").select("whole", "piece", "rid", "vector")
-    names = cut.select("whole", "piece").distinct()
-    pairs = names.withColumnRenamed("piece", "one").join(names.select("whole", F.col("piece").alias("two")), "whole").where("one < two")
-    sides = pairs.select("whole", "one", "two", F.explode(F.array("one", "two")).alias("piece"))
-    met = cut.join(sides, ["whole", "piece"]).select("one", "two", "piece", "rid", "vector")
-    return met.repartition(width, "one", "two").groupBy("one", "two").applyInArrow(_across(k, cell_rows), _NEAR)
+    names = found.where("whole IS NOT NULL").select("whole", "piece")
+    pairs = names.withColumnRenamed("piece", "one").join(names.withColumnRenamed("piece", "two"), "whole").where("one < two").select("one", "two")
+    return pairs.repartition(4 * width, "one", "two").mapInArrow(_across(k, cell_rows), _NEAR)
 
 
 def _postings(batches):
@@ -648,10 +673,16 @@ def _freed(df: DataFrame, name: str) -> DataFrame:
 def graph(rows: DataFrame, n: int, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """((rid, others, sims): the k best neighbours of each row; (rid, block): where each is walked)."""
     width = max(1, common.shuffle_width(rows.sparkSession))
-    found = _freed(in_cells(rows, n, k, cell_rows), "packing-found")
-    both = found.select("rid", "others", "sims").unionByName(in_pieces(found, k, cell_rows)).unionByName(by_rare_words(rows))
+    held = fit_cells(rows, n, cell_rows)
+    both, turns = by_rare_words(rows), []
+    # one order after the other, so that the vectors of one alone lie in shuffles and pieces
+    for r in range(ORDERS):
+        folder = common.scratch_path(rows.sparkSession, "packing-pieces")
+        turns.append(_freed(in_cells(rows, n, k, cell_rows, [r], held, folder), "packing-found"))
+        both = both.unionByName(turns[r].select("rid", "others", "sims")).unionByName(_freed(in_pieces(turns[r], k, cell_rows), "packing-met"))
+        common.remove(rows.sparkSession, folder)
     best = both.repartition(width, "rid").sortWithinPartitions("rid").mapInArrow(_best(k), _NEAR)
-    return _freed(best, "packing-graph"), found.where("block IS NOT NULL").select("rid", "block")
+    return _freed(best, "packing-graph"), turns[0].where("block IS NOT NULL").select("rid", "block")
 
 
 def _walked(rows: DataFrame, best: DataFrame, blocks: DataFrame) -> DataFrame:

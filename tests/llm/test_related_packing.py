@@ -260,3 +260,22 @@ def test_shuffles_of_a_write_are_freed(spark, monkeypatch):
     except ZeroDivisionError:
         seen.append("failed")
     assert seen == ["true", "failed"] and spark.conf.get(key) == was
+
+
+def test_vectors_of_cut_cells_are_written_once(spark, monkeypatch):
+    """However many pieces a cell has, each vector lies in one file for all of them and isn't sent again; the files are gone when the graph is there."""
+    monkeypatch.setattr(R, "CLUSTERS", 1)
+    rows, n = R._placed(awkward.frame(spark, [awkward.row(i, awkward.prose(i, 40)) for i in range(400)]).select("doc_id", "text"))
+    rows = rows.withColumn("mh", R.F.array_repeat(R.F.lit(1).cast("bigint"), R.ORDERS)).cache()
+    found = R.in_cells(rows, n, 5, 20, [1], folder=R.common.scratch_path(spark, "packing-pieces")).cache()
+    assert "vector" not in found.columns and found.where("block IS NOT NULL").isEmpty()
+    pieces = [x.piece for x in found.where("piece IS NOT NULL").collect()]
+    held = {x["rid"]: x["vector"] for p in pieces for x in R._got(p).to_pylist()}
+    assert len(pieces) > 15 and sum(R._got(p).num_rows for p in pieces) == len(held) == 400
+    assert held == {x.rid: bytes(x.vector) for x in rows.collect()}
+    folders = []
+    real = R.common.scratch_path
+    monkeypatch.setattr(R.common, "scratch_path", lambda s, name: (path := real(s, name), folders.append(path) if name == "packing-pieces" else None)[0])
+    assert R.graph(rows, n, cell_rows=20)[0].count() == 400
+    left = [R.pafs.FileSystem.from_uri(x) for x in folders]
+    assert len(left) == R.ORDERS and all(system.get_file_info(inner).type == R.pafs.FileType.NotFound for system, inner in left)
