@@ -211,6 +211,8 @@ def nearest(first: np.ndarray, word: np.ndarray, value: np.ndarray, k: int, apar
     With apart, only the pairs of a row before it and one from it on. Frequent words go through a matrix product, the others through their lists of rows. Rows that share no word are no neighbours.
     """
     n = len(first) - 1
+    # _SCALE reaches workers pickled, and so with a dtype object of its own, for which np.add.at has its slow loop only
+    value = value.astype(np.float32)
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     # by word, and within a word by row
     o = np.argsort((word & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")

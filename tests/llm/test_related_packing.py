@@ -1,4 +1,6 @@
+import pickle
 import random
+import types
 
 import awkward
 import numpy as np
@@ -279,3 +281,18 @@ def test_vectors_of_cut_cells_are_written_once(spark, monkeypatch):
     assert R.graph(rows, n, cell_rows=20)[0].count() == 400
     left = [R.pafs.FileSystem.from_uri(x) for x in folders]
     assert len(left) == R.ORDERS and all(system.get_file_info(inner).type == R.pafs.FileType.NotFound for system, inner in left)
+
+
+def test_sums_of_pickled_values_are_fast(monkeypatch):
+    """Values that went to a worker have a dtype object of their own; numpy adds them up by its fast loop only if all have the one it holds."""
+    seen = []
+    watched = types.SimpleNamespace(at=lambda flat, at, x: (seen.append((flat.dtype is np.dtype(np.float32), at.dtype is np.dtype(np.intp), x.dtype is np.dtype(np.float32))), np.add.at(flat, at, x)), reduceat=np.add.reduceat)
+    rng = np.random.default_rng(9)
+    word = np.concatenate([np.sort(rng.choice(3000, 40, replace=False)) for _ in range(600)]).astype(np.uint32)
+    first, value = np.arange(0, len(word) + 1, 40), rng.random(len(word)).astype(np.float32)
+    sent = pickle.loads(pickle.dumps(value))
+    assert sent.dtype is not np.dtype(np.float32)
+    want = R.nearest(first, word, value, 5)
+    monkeypatch.setattr(R, "np", types.SimpleNamespace(**{**vars(np), "add": watched}))
+    got = R.nearest(first, word, sent, 5)
+    assert seen and all(all(x) for x in seen) and all((a == b).all() for a, b in zip(want, got))
