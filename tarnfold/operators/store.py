@@ -30,7 +30,12 @@ def insert_strict(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def replace_reports(old: DataFrame, new: DataFrame, key: str = "report_id") -> DataFrame:
     """All rows of the reports in new instead of those in old: nothing of an earlier run is left."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return other_reports(old, new.select(key).distinct(), key).unionByName(new, allowMissingColumns=True)
+
+
+def other_reports(old: DataFrame, ids: DataFrame, key: str = "report_id") -> DataFrame:
+    """The rows of old whose report isn't among ids; NULL is among none."""
+    return old.join(ids, key, "left_anti")
 
 
 def listing(reports: DataFrame, packets: DataFrame, disclosures: DataFrame, results: DataFrame, key: str = "report_id") -> DataFrame:

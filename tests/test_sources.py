@@ -178,3 +178,30 @@ def test_streams_equal_batches(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "done")).collect()
     good = [r.report_id for r in done if r.status == "ok"]
     assert sorted(good) == sorted(set(good)) == ["r0", "r2", "r3", "r4"] and sum(r.report_id == "r1" for r in done) >= 1
+
+
+def test_store_keeps_other_reports_and_drops_what_a_failed_save_left(spark, tmp_path, monkeypatch):
+    from tarnfold.sources import report_store
+
+    for few in (10, 0):
+        monkeypatch.setattr(report_store, "FEW_IDS", few)
+        s = ReportStore(spark, str(tmp_path / f"few{few}"))
+        rows = lambda *r: spark.createDataFrame(r, "report_id string, page_index int, native_text string")
+        s.save("pages", rows(("a", 0, "a0"), ("b", 0, "b0"), ("b", 1, "b1"), (None, 0, "n")))
+        rows(("z", 0, "left")).write.parquet(f"{s.root}/pages/v2/new")  # without a mark that it is complete
+        assert {r.native_text for r in s.read("pages").collect()} == {"a0", "b0", "b1", "n"}
+        s.save("pages", rows(("b", 0, "b2"), ("c", 0, "c0"), (None, 0, "m")))
+        assert sorted(r.native_text for r in s.read("pages").collect()) == ["a0", "b2", "c0", "m", "n"]
+        s.save("pages", rows(("c", 0, "c1")).where("false"))
+        assert s.read("pages").count() == 5
+        # new rows lie apart from kept ones: they were written as they came, in no shuffle with the old
+        assert spark.read.parquet(f"{s.root}/pages/v2/new").count() == 3 and spark.read.parquet(f"{s.root}/pages/v2/kept").count() == 2
+
+
+def test_store_reads_versions_without_parts_and_detail_takes_fields(spark, tmp_path):
+    s = ReportStore(spark, str(tmp_path))
+    spark.createDataFrame([("a", 1, "t1", None, None, ["f"]), ("a", 0, "t0", None, None, [])], files.schemas.PAGES).write.parquet(f"{s.root}/pages/v1")
+    spark.createDataFrame([("a", None, None, 2, None, "{}")], files.schemas.REPORTS).write.parquet(f"{s.root}/reports/v1")
+    assert s.read("pages").count() == 2
+    assert [tuple(p) for p in s.detail("a").first().pages] == [(0, "t0", []), (1, "t1", ["f"])]
+    assert [tuple(p) for p in s.detail("a", pages=["page_index"]).first().pages] == [(0,), (1,)]
