@@ -36,6 +36,24 @@ def packets(fragments_: DataFrame, report: str = "report_id", page: str = "page_
     )
 
 
+def page_packets(pages: DataFrame, text: str = "native_text", report: str = "report_id", page: str = "page_index", task: str = "full_harvest") -> DataFrame:
+    """packets(fragments(blocks(pages))), each built within its page's row, so that no text is shuffled.
+
+    A page that comes in several rows is one packet of all their fragments. That takes the shuffle; only keys are read to see whether there is any.
+    """
+    most = pages.groupBy(report, page).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > 1:
+        return packets(fragments(blocks(pages, text, (report, page)), report, page), report, page, task=task)
+    numbered = F.transform(F.split(text, "\n", -1), lambda t, i: F.struct(i.alias("ord"), t.alias("text")))
+    filled = F.filter(numbered, lambda x: x["text"].rlike(r"\S"))
+    item = lambda x: F.struct(
+        x["ord"].alias("ord"), expr.stable_id("ev", F.col(report), F.col(page), x["ord"]).alias("id"), F.col(page).alias("page_index"), F.lit("text_block").alias("kind"), x["text"].alias("text"),
+    )
+    return pages.where(F.col(text).rlike(r"\S")).select(
+        expr.stable_id("packet", F.col(report), F.col(page), F.lit(task)).alias("packet_id"), report, page, F.lit(task).alias("task_type"), F.transform(filled, item).alias("primary"),
+    )
+
+
 def with_context(packets_: DataFrame, pages: int = 1, report: str = "report_id", page: str = "page_index") -> DataFrame:
     """packets with a column context: the fragments of up to `pages` pages before and after, in their order; an empty list where there are none."""
     around = F.explode(F.array(*(F.col(page) + F.lit(i) for i in range(-pages, pages + 1) if i)))

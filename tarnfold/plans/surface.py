@@ -307,7 +307,7 @@ def stored_reports(spark, d):
 @query("SELECT source AS report_id, list(doc_id::INTEGER ORDER BY doc_id) AS page_indexes FROM documents WHERE source = 'src3' GROUP BY source")
 def stored_report_detail(spark, d):
     """One report by its id."""
-    return _stored(spark, d).detail("src3").select("report_id", F.col("pages.page_index").alias("page_indexes"))
+    return _stored(spark, d).detail("src3", pages=["page_index"]).select("report_id", F.col("pages.page_index").alias("page_indexes"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")

@@ -42,8 +42,8 @@ def steps(completed: bool = False, api_completed: bool = False) -> list[dict[str
 
 def prepare(pages: DataFrame, context_pages: int = 0) -> State:
     """pages: report_id, page_index, native_text. Pages without text give no packet; context_pages on either side are shown with a packet."""
-    blocks = evidence.fragments(evidence.blocks(pages))
-    return State("local_evidence_prepared", pages, evidence.with_context(evidence.packets(blocks), context_pages) if context_pages else evidence.packets(blocks))
+    packets = evidence.page_packets(pages)
+    return State("local_evidence_prepared", pages, evidence.with_context(packets, context_pages) if context_pages else packets)
 
 
 def run_local(pages: DataFrame) -> State:

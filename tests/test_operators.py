@@ -178,3 +178,18 @@ def test_store(spark):
     assert [(r.k, r.v) for r in store.insert_ignore(old, new, ["k"], "seq").collect()] == [("c", "first")]
     with pytest.raises(Exception, match="repeated key"):
         store.insert_strict(old, new, ["k"]).collect()
+
+
+def test_packets_of_pages_need_no_shuffle_unless_a_page_repeats(spark):
+    from tarnfold import workflow
+
+    rows = [("r", 0, "one\n\n two \n\t\nthree"), ("r", 1, None), ("r", 2, " \n\t"), ("r", 3, ""), ("s", 0, "x"), (None, 5, "n\n"), ("t", None, "\nq\r\n")]
+    for more in ([], [("s", 0, "again\nand"), (None, 5, "m")]):
+        pages = spark.createDataFrame(rows + more, "report_id string, page_index int, native_text string")
+        state = workflow.run_local(pages)
+        want = evidence.packets(evidence.fragments(evidence.blocks(pages)))
+        order = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+        assert order(state.packets) == order(want) and state.packets.count() == 4
+        assert state.packets.schema["primary"].dataType.simpleString() == want.schema["primary"].dataType.simpleString()
+        for df in (state.packets, state.disclosures):
+            assert ("Exchange" in df._jdf.queryExecution().executedPlan().toString()) == bool(more)
