@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr
+
 DEFAULT_CONTEXT, LONG_CONTEXT, LONGEST_CONTEXT = 32_768, 262_144, 1_000_000
 VISION_MARKS = ("multimodal", "visual", "vision", "vl")
 REASONING_MARKS = ("r1", "reason", "thinking", "m2.7", "glm-5", "deepseek-v4-pro")
@@ -70,16 +72,20 @@ def capabilities(records: DataFrame, json_col: str = "record") -> DataFrame:
     The record within "raw" counts for the architecture if it has the same id.
     """
     get = lambda path: F.get_json_object(json_col, path)
-    inner = get("$.raw.id") == get("$.id")
-    raw = lambda path: F.when(inner, get(f"$.raw.{path}")).otherwise(get(f"$.{path}"))
-    strings = lambda c: F.nullif(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    raw = lambda path: F.when(F.col("_inner"), get(f"$.raw.{path}")).otherwise(get(f"$.{path}"))
+    # nullif has its first argument twice, and each would parse the record
+    nullif = lambda c, none: expr.let(c, lambda x: F.nullif(x, none))
+    strings = lambda c: nullif(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
     true = lambda c: F.coalesce(c.try_cast("boolean"), F.lit(False))
-    number = lambda c: F.nullif(c.try_cast("bigint"), F.lit(0))
-    filled = lambda c: F.nullif(c, F.lit(""))
+    number = lambda c: nullif(c.try_cast("bigint"), F.lit(0))
+    filled = lambda c: nullif(c, F.lit(""))
     features = strings(get("$.features"))
-    guess = inferred(F.concat_ws(" ", get("$.id"), raw("name"), F.array_join(F.coalesce(strings(raw("features")), F.array().cast("array<string>")), " ")))
+    # what is asked for again and again is a column of a step before, so that the record isn't parsed for each mark of a name
+    marked = records.select(json_col, (get("$.raw.id") == get("$.id")).alias("_inner"))
+    marked = marked.select("*", F.concat_ws(" ", get("$.id"), raw("name"), F.array_join(F.coalesce(strings(raw("features")), F.array().cast("array<string>")), " ")).alias("_about"))
+    guess = inferred(F.col("_about"))
     text = F.array(F.lit("text"))
-    return records.select(
+    return marked.select(
         get("$.id").alias("id"),
         get("$.name").alias("name"),
         F.coalesce(strings(raw("architecture.input_modalities")), strings(get("$.input_modalities")), guess["input_modalities"]).alias("input_modalities"),

@@ -507,7 +507,8 @@ def observation_parse(spark, d):
   CASE WHEN p_size % 5 = 0 THEN CAST(p_size AS BIGINT) * 1000 WHEN p_brand LIKE '%1' THEN 1000000 WHEN p_brand LIKE '%2' THEN 262144 ELSE 32768 END AS context_length,
   p_size % 3 = 0 AS supports_functions, p_brand LIKE '%3' AS supports_reasoning, CASE WHEN p_size = 7 THEN '2025-01-01' END AS retirement_at FROM part""")
 def model_capabilities(spark, d):
-    p = table(spark, d, "part")
+    # a small file with long work on each row: all cores get a share of it
+    p = table(spark, d, "part").repartition(spark.sparkContext.defaultParallelism)
     name = F.concat(
         F.when(F.col("p_brand").endswith("1"), "longcat").when(F.col("p_brand").endswith("2"), "kimi").when(F.col("p_brand").endswith("3"), "thinking").otherwise("plain"),
         F.when(F.col("p_type") == "PROMO", "-vl").otherwise(""),

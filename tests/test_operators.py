@@ -193,3 +193,11 @@ def test_packets_of_pages_need_no_shuffle_unless_a_page_repeats(spark):
         assert state.packets.schema["primary"].dataType.simpleString() == want.schema["primary"].dataType.simpleString()
         for df in (state.packets, state.disclosures):
             assert ("Exchange" in df._jdf.queryExecution().executedPlan().toString()) == bool(more)
+
+
+def test_records_of_models_are_parsed_a_few_times_only(spark):
+    df = spark.createDataFrame([('{"id": "a-vl", "raw": {"id": "a-vl", "name": "Kimi", "features": ["r1"]}}',), ('{"id": "b", "raw": {"id": "c", "name": "Kimi"}, "name": "glm-5"}',), ("{",), ('{"name": "none"}',)], "record string")
+    caps = routing.capabilities(df)
+    assert [(r.id, r.input_modalities, r.context_length, r.supports_reasoning) for r in caps.orderBy("id").collect()] == [("a-vl", ["text", "image"], 262_144, True), ("b", ["text"], 1_000_000, True)]
+    # names were looked at mark by mark, and the record was parsed anew for each mark
+    assert caps._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") < 60
