@@ -13,6 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..runtime import importable
 
 PAGE_SIZE, DELAY = 200, 0.3
+#: characters of bodies that a reader gathers before it hands them on; Spark's own batches are 10,000 pages
+BATCH_CHARS = 4_000_000
 RETRIES, BACKOFF, LONGEST_WAIT = 5, 1.5, 60.0
 RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
 PAGE = (
@@ -102,6 +104,22 @@ def walk_pages(fetch: Fetch, url: str, most: int | None = None, delay: float = D
             sleep(delay)
 
 
+def page_batches(pages: Iterator[tuple[int, str, bool]]) -> Iterator:
+    """The pages of a walk as Arrow batches, each of BATCH_CHARS characters and one body more at most, however long the walk is."""
+    import pyarrow as pa
+
+    schema = pa.schema([("page", pa.int32()), ("body", pa.string()), ("complete", pa.bool_())])
+    held, chars = [], 0
+    for row in pages:
+        held.append(row)
+        chars += len(row[1])
+        if chars >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def page_source(fetch: Fetch, name: str = "filing_pages") -> type[DataSource]:
     """A data source class to register: options base, country, max_pages, delay; rows (page, body, complete).
 
@@ -117,7 +135,7 @@ def page_source(fetch: Fetch, name: str = "filing_pages") -> type[DataSource]:
 
         def read(self, partition):
             most = self.options.get("max_pages")
-            yield from walk_pages(fetch, first_url(self.options["base"], partition.value), int(most) if most else None, float(self.options.get("delay", DELAY)))
+            yield from page_batches(walk_pages(fetch, first_url(self.options["base"], partition.value), int(most) if most else None, float(self.options.get("delay", DELAY))))
 
     class Source(DataSource):
         @classmethod

@@ -205,3 +205,13 @@ def test_store_reads_versions_without_parts_and_detail_takes_fields(spark, tmp_p
     assert s.read("pages").count() == 2
     assert [tuple(p) for p in s.detail("a").first().pages] == [(0, "t0", []), (1, "t1", ["f"])]
     assert [tuple(p) for p in s.detail("a", pages=["page_index"]).first().pages] == [(0,), (1,)]
+
+
+def test_pages_of_a_long_walk_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(api, "BATCH_CHARS", 50)
+    walk = [(n, str(n) * 20, n == 9) for n in range(10)]
+    batches = list(api.page_batches(iter(walk)))
+    assert [b.num_rows for b in batches] == [3, 3, 3, 1] and [tuple(r.values()) for b in batches for r in b.to_pylist()] == walk
+    assert list(api.page_batches(iter([]))) == []
+    reader = api.page_source(fetch)({"base": BASE, "delay": "0"}).reader(None)
+    assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 3
