@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
@@ -21,24 +23,28 @@ from . import tables as t
 from .catalogue import _drained, _events_stream, _phrased, query
 from .tables import CUSTOMERS, FILINGS, FRAGMENTS, LEDGER, table
 
+#: subfolders that many files are spread over
+PARTS = 256
 SITE = "https://filings.example.org"
 _STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def _put(rows, folder: str, name, content):
-    """Write content, bytes or text, of each row as a file; from tasks, into the shared folder."""
+def _put(rows, folder: str, name, content, parts: int = 0):
+    """Write content, bytes or text, of each row as a file; from tasks, into the shared folder, or into so many subfolders by a hash of the name, which tasks can share out."""
 
     def write(batches):
         system, inner = pafs.FileSystem.from_uri(folder)
-        system.create_dir(inner, recursive=True)
+        below = [f"{inner}/{k:03x}" for k in range(parts)] or [inner]
+        for x in below:
+            system.create_dir(x, recursive=True)
         for b in batches:
-            for n, c in zip(b["name"], b["content"]):
-                with system.open_output_stream(f"{inner}/{n}") as out:
-                    out.write(bytes(c))
-            yield pd.DataFrame({"n": [len(b)]})
+            for n, c in zip(b.column("name").to_pylist(), b.column("content")):
+                with system.open_output_stream(f"{below[zlib.crc32(n.encode()) % len(below)]}/{n}") as out:
+                    out.write(c.as_buffer())  # no copy: a batch may be large
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
 
     importable(rows.sparkSession)
-    rows.select(name.alias("name"), content.cast("binary").alias("content")).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    rows.select(name.alias("name"), content.cast("binary").alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 # --- files
@@ -84,7 +90,7 @@ def partitioned_table(spark, d):
 @query("SELECT page_id || '.html' AS file, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS actual_sha FROM pages")
 def file_inventory(spark, d):
     folder = work_folder(spark, "inventory")
-    _put(table(spark, d, "pages"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
+    _put(table(spark, d, "pages"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"), PARTS)
     return files.inventory(spark, folder)
 
 
@@ -105,7 +111,7 @@ def zip_packages(spark, d):
             yield pd.DataFrame({"page_id": b["page_id"], "content": made})
 
     importable(spark)
-    _put(_phrased(spark, d).mapInPandas(pack, "page_id long, content binary"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".zip")), F.col("content"))
+    _put(_phrased(spark, d).mapInPandas(pack, "page_id long, content binary"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".zip")), F.col("content"), PARTS)
     return archives.packages(spark, folder).select("file", "zip_ok", "esg_flag")
 
 
@@ -114,7 +120,7 @@ SELECT report_id, page_index, native_text, 10.0::DOUBLE AS width, 20.0::DOUBLE A
 def document_pages(spark, d):
     """Documents as bytes, cut into pages by a reader that is handed in."""
     folder = work_folder(spark, "documents")
-    _put(table(spark, d, "pages"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".pdf")), F.col("html"))
+    _put(table(spark, d, "pages"), folder, F.concat(F.col("page_id").cast("string"), F.lit(".pdf")), F.col("html"), PARTS)
     reader = lambda content: [(p, 10.0, 20.0, "<li" in p) for p in content.decode().split("</p>")]
     return archives.documents(spark, folder, reader).select("report_id", "page_index", "native_text", "width", "height", "quality_flags")
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..runtime import importable
 from ..schemas import PAGES
+from .files import over_files
 
 
 _PAGE = re.compile(r"\.x?html$", re.I)
@@ -32,15 +32,11 @@ def report_page(content: bytes | None) -> tuple[str | None, bool]:
 def packages(spark: SparkSession, folder: str) -> DataFrame:
     """(file, size, actual_sha, zip_ok, esg_flag) of every package. Bytes stay in the task that read them; the phrase search is a built-in expression."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [report_page(c) for c in b["content"]]
-            yield pd.DataFrame({"file": b["file"], "size": b["length"], "actual_sha": b["sha"], "page": [p for p, _ in got], "zip_ok": [ok for _, ok in got]})
+    def unpack(name: str, content: bytes) -> list[tuple]:
+        page, ok = report_page(content)
+        return [(name, len(content), hashlib.sha256(content).hexdigest(), page, ok)]
 
-    importable(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
-    raw = raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha"), "content")
-    opened = raw.mapInPandas(unpack, "file string, size long, actual_sha string, page string, zip_ok boolean")
+    opened = over_files(spark, folder, unpack, "file string, size long, actual_sha string, page string, zip_ok boolean", "*.zip")
     return opened.select("file", "size", "actual_sha", "zip_ok", expr.has_anchor(F.col("page")).alias("esg_flag"))
 
 
@@ -55,17 +51,14 @@ def pdf_pages(content: bytes) -> list[tuple[str, float, float, bool]]:
 def documents(spark: SparkSession, folder: str, reader: Callable[[bytes], list[tuple[str, float, float, bool]]] = pdf_pages, glob: str = "*.pdf") -> DataFrame:
     """Rows of PAGES, with the file's hash, of every document; report_id is the file's name without its ending."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(r, s, i, *page) for r, s, c in zip(b["report_id"], b["sha256"], b["content"]) for i, page in enumerate(reader(c))]
-            yield pd.DataFrame(rows, columns=["report_id", "sha256", "page_index", "native_text", "width", "height", "has_table"])
+    def read(name: str, content: bytes) -> Iterator[tuple]:
+        report, sha = re.sub(r"(?<=.)\.[^.]*$", "", name), hashlib.sha256(content).hexdigest()
+        for i, (text, width, height, table) in enumerate(reader(content)):
+            yield report, i, text, width, height, table, sha
 
     from ..operators.evidence import page_flags
 
-    importable(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    raw = raw.select(expr.part_of(F.col("path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("report_id"), F.sha2("content", 256).alias("sha256"), "content")
-    pages = raw.mapInPandas(read, PAGES.replace("quality_flags array<string>", "has_table boolean") + ", sha256 string")
+    pages = over_files(spark, folder, read, PAGES.replace("quality_flags array<string>", "has_table boolean") + ", sha256 string", glob)
     return pages.withColumn("quality_flags", page_flags(F.col("native_text"), F.col("has_table"))).drop("has_table")
 
 

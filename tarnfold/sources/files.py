@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: text that a task of over_files gathers before it hands rows on
+BATCH_BYTES = 4_000_000
+
 
 def read_index(spark: SparkSession, path: str, schema: str = schemas.PRIMARY_FILING) -> DataFrame:
     """CSV with a header, byte-order mark or not; columns as the schema types them, '' as NULL."""
@@ -87,7 +94,69 @@ def decode_upload(uploads: DataFrame, body: str = "body", name: str = "name") ->
     return uploads.withColumn("content", F.try_to_binary(body, F.lit("base64"))).withColumn("file_name", safe_upload_name(F.col(name))).drop(body)
 
 
+def _units(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
+    """(root of the file system, paths that tasks share out): the files of a folder, or those that a pattern names, and subfolders as wholes. Only the top is listed here."""
+    from pyarrow import fs as pafs
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tops = [t.getPath().toUri() for t in system.globStatus(path) or []]
+    if not tops:
+        raise FileNotFoundError(folder)
+    root = f"{tops[0].getScheme()}://{tops[0].getAuthority() or ''}/"
+    system, found = pafs.FileSystem.from_uri(root)[0], []
+    for top in tops:
+        info = system.get_file_info(top.getPath())
+        found += [f.path for f in system.get_file_info(pafs.FileSelector(info.path)) if _seen(f.base_name)] if info.type == pafs.FileType.Directory else [info.path]
+    return root, found
+
+
+def _seen(name: str) -> bool:
+    """Whether Spark would read a file or folder of this name."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def over_files(spark: SparkSession, folder: str, rows: Callable[[str, bytes], Iterable[tuple]], schema: str, glob: str = "*") -> DataFrame:
+    """The rows that rows(name, content) makes of every file below a folder.
+
+    A task lists and reads its share of the folder's files and subfolders one after the other, so that the number of tasks doesn't grow with that of files, and contents stay in it; rows leave in small batches.
+    """
+    from ..runtime import importable
+
+    root, units = _units(spark, folder)
+    columns = spark.createDataFrame([], schema).columns
+
+    def paths(system, unit: str) -> Iterator[str]:
+        from pyarrow import fs as pafs
+
+        info = system.get_file_info(unit)
+        below = system.get_file_info(pafs.FileSelector(unit, recursive=True)) if info.type == pafs.FileType.Directory else [info]
+        for f in below:
+            if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, glob) and all(map(_seen, f.path[len(unit) :].split("/"))):
+                yield f.path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+
+        system, held, size = pafs.FileSystem.from_uri(root)[0], [], 0
+        for unit in (u for b in batches for u in b["unit"]):
+            for path in paths(system, unit):
+                with system.open_input_stream(path, compression=None) as f:
+                    content = f.read()
+                for row in rows(path.rpartition("/")[2], content):
+                    held.append(row)
+                    size += 100 + sum(len(x) for x in row if isinstance(x, str))
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    importable(spark)
+    tasks = max(1, min(len(units), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(u,) for u in units], "unit string").repartition(tasks).mapInPandas(run, schema)
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(file, size, actual_sha) of every file below a folder, hashed where it lies."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("actual_sha"))
+    return over_files(spark, folder, lambda name, content: [(name, len(content), hashlib.sha256(content).hexdigest())], "file string, size long, actual_sha string")

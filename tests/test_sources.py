@@ -215,3 +215,23 @@ def test_pages_of_a_long_walk_leave_in_small_batches(spark, monkeypatch):
     assert list(api.page_batches(iter([]))) == []
     reader = api.page_source(fetch)({"base": BASE, "delay": "0"}).reader(None)
     assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 3
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    import hashlib
+
+    for k in range(300):
+        (tmp_path / f"s{k % 7}" / "t").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"s{k % 7}" / "t" / f"n {k}.v.pdf").write_bytes(f"{k}\f|".encode())
+    for name in ("top.pdf", "_no.pdf", ".no.pdf", "a.gz", "none"):
+        (tmp_path / name).write_bytes(b"" if name == "none" else b"x")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.pdf").write_bytes(b"x")
+    got = archives.documents(spark, str(tmp_path), reader)
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism  # binaryFile made a task of every 32 files
+    assert sorted((r.report_id, r.page_index, r.native_text) for r in got.collect()) == sorted([("top", 0, "x"), *((f"n {k}.v", i, t) for k in range(300) for i, t in enumerate((str(k), "|")))])
+    held = {r.file: (r.size, r.actual_sha) for r in files.inventory(spark, f"file://{tmp_path}").collect()}
+    assert len(held) == 303 and held["a.gz"] == (1, hashlib.sha256(b"x").hexdigest()) and held["none"][0] == 0
+    assert files.inventory(spark, str(tmp_path / "s*" / "t")).count() == 300 and files.inventory(spark, str(tmp_path / "top.pdf")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        files.inventory(spark, str(tmp_path / "gone"))
